@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, media
 from .common import read_documents
 
 
@@ -16,7 +16,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_webp": op1_webp,
     "op6_byte_bpe": op6_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
