@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, media
+from . import byte_bpe, media, substring_dedup
 from .common import read_documents
 
 
@@ -20,8 +20,13 @@ def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(read_documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_webp": op1_webp,
+    "op2_substring_dedup": op2_substring_dedup,
     "op6_byte_bpe": op6_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
