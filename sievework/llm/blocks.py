@@ -17,18 +17,30 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import buckets_for, materialize, pieces, small_arrow_batches, utf8
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 2 << 20
+#: What goes with a hash at least: its first document in the block.
+DOC = np.dtype([("doc", "<i4")])
 NULL_ID = np.iinfo(np.int64).min
 
-BLOCK_SCHEMA = "block_id long, n_bytes long, rest binary, sizes binary, data binary"
+BLOCK_SCHEMA = "block_id long, n_bytes long, rest binary, sizes binary, data binary, marks binary"
 MESSAGE_SCHEMA = "bucket int, block_id long, hashes binary, extra binary, ids binary"
 ANSWER_SCHEMA = "block_id long, bucket int, answer binary"
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
 def _ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as w:
@@ -36,8 +48,10 @@ def _ipc(table: pa.Table) -> bytes:
     return zstandard.ZstdCompressor(1).compress(sink.getvalue().to_pybytes())
 
 
-def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", label: str = "blocks") -> DataFrame:
-    """Blocks of documents, each in order of doc_id (null first). Null texts are empty."""
+def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", label: str = "blocks", mark: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
+    """Blocks of documents, each in order of doc_id (null first). Null texts are empty.
+
+    mark(bytes, row offsets) may find what all later passes need; it is kept with the block."""
     small_arrow_batches(docs.sparkSession)
     names = list(keep)
     rows = docs.select(*names, F.col(text).alias("__text"))
@@ -49,7 +63,7 @@ def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
         data, at = utf8(table.column(len(names)).combine_chunks() if table.num_rows else pa.array([], pa.string()))
         block = (TaskContext.get().partitionId() << 32) + number
         packed = zstandard.ZstdCompressor(3).compress(data.tobytes())
-        return pa.RecordBatch.from_pydict({"block_id": [block], "n_bytes": [len(data)], "rest": [_ipc(table.select(names))], "sizes": [np.diff(at).tobytes()], "data": [packed]})
+        return pa.RecordBatch.from_pydict({"block_id": [block], "n_bytes": [len(data)], "rest": [_ipc(table.select(names))], "sizes": [np.diff(at).tobytes()], "data": [packed], "marks": [zstandard.ZstdCompressor(1).compress(mark(data, at)) if mark else b""]})
 
     def run(batches):
         parts, size, number = [], 0, 0
@@ -72,6 +86,7 @@ class Block:
     def __init__(self, row: dict):
         self.id = row["block_id"]
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
+        self.marks = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["marks"]), np.uint8) if row["marks"] else np.zeros(0, np.uint8)
         sizes = np.frombuffer(row["sizes"], np.int64)
         self.at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])) as r:
@@ -118,15 +133,17 @@ def per_block(blocks: DataFrame, f: Callable[[Block], pa.RecordBatch], schema) -
     return blocks.mapInArrow(run, schema)
 
 
-def answered(sent: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], label: str, extra_type=np.int32) -> DataFrame:
-    """Each bucket's answers: f(hashes, extra, doc_id, block number) gives one byte for each entry of the bucket."""
+def answered(sent: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], label: str, extra_type=DOC) -> DataFrame:
+    """Each bucket's answers: f(hashes, extra, doc_id, block number) gives one byte for each entry of the bucket.
+
+    extra has the field doc, a row of the block, where a message has ids."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block_id"])
         parts = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
         sizes = np.array([len(p) for p in parts])
         extra = [np.frombuffer(r["extra"], extra_type) for r in rows]
-        ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[x["doc"] if extra_type is not np.int32 else x] for r, x in zip(rows, extra, strict=True)]) if rows[0]["ids"] else np.zeros(0, np.int64)
+        ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[x["doc"]] for r, x in zip(rows, extra, strict=True)]) if rows[0]["ids"] else np.zeros(0, np.int64)
         out = f(np.concatenate(parts), np.concatenate(extra), ids, np.repeat(np.arange(len(rows)), sizes)).astype(np.uint8)
         ends = np.cumsum(sizes)
         return pa.table({"block_id": pa.array([r["block_id"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "answer": pa.array([zstandard.ZstdCompressor(1).compress(out[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
@@ -134,7 +151,7 @@ def answered(sent: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, n
     return materialize(sent.groupBy("bucket").applyInArrow(run, ANSWER_SCHEMA), label)
 
 
-def with_answers(blocks: DataFrame, answers: list[DataFrame], f: Callable[..., pa.RecordBatch | pa.Table], schema, empty: pa.Schema) -> DataFrame:
+def with_answers(blocks: DataFrame, answers: list[DataFrame], f: Callable[..., pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """f(block, answer of the first exchange, of the second, ...) for every block, answers in the order sent."""
     everything = None
     for k, a in enumerate(answers):
@@ -147,10 +164,7 @@ def with_answers(blocks: DataFrame, answers: list[DataFrame], f: Callable[..., p
         for r in right.to_pylist():
             got[r["step"]].append((r["bucket"], r["answer"]))
         parts = [b"".join(zstandard.ZstdDecompressor().decompress(x) for _, x in sorted(g)) for g in got]
-        rows = left.to_pylist()
-        if not rows:
-            return empty.empty_table()
-        out = f(Block(rows[0]), *(np.frombuffer(p, np.uint8) for p in parts))
+        out = f(Block(left.to_pylist()[0]), *(np.frombuffer(p, np.uint8) for p in parts))
         return out if isinstance(out, pa.Table) else pa.Table.from_batches([out])
 
     return blocks.groupBy("block_id").cogroup(everything.groupBy("block_id")).applyInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, media, mixing, substring_dedup
+from . import byte_bpe, media, mixing, substring_dedup, suffix_dedup
 from .common import read_documents
 
 
@@ -28,9 +28,14 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read_documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_webp": op1_webp,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_pareto_mix": op7_pareto_mix,
 }

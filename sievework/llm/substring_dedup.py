@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .blocks import MESSAGE_SCHEMA, Block, answered, messages, n_buckets, pack, per_block, with_answers
+from .blocks import DOC, MESSAGE_SCHEMA, Block, answered, ddl, messages, n_buckets, pack, per_block, with_answers
 from .common import join_hashes, ragged, span_hashes, word_spans
 
 PERIOD = 13
@@ -74,7 +74,7 @@ class Words:
         return starts, sequence_hashes(self.hashes, self.window)[starts] if len(starts) else np.zeros(0, np.uint64)
 
 
-def _unique(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unique(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes, the first place, the inverse and the count of each."""
     return np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
 
@@ -90,7 +90,7 @@ def _shared(hashes, extra, ids, block):
     return out
 
 
-def _later(hashes, extra, ids, block):
+def later_entries(hashes, extra, ids, block):
     """1 for entries of a hash that another entry precedes, by document and then block."""
     order = np.lexsort((block, ids, hashes))
     h = hashes[order]
@@ -104,7 +104,7 @@ def _repeated(words: Words, shared: np.ndarray) -> np.ndarray:
     places, hashes = words.anchors()
     if not len(places):
         return places
-    _, _, inverse, count = _unique(hashes)
+    _, _, inverse, count = unique(hashes)
     return places[((count > 1) | (shared > 0))[inverse]]
 
 
@@ -121,12 +121,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ("
     def send_windows(block: Block, shared: np.ndarray):
         words = Words(block, window)
         starts, hashes = words.candidates(_repeated(words, shared))
-        distinct, first, _, _ = _unique(hashes)
-        return messages(block.id, second_buckets, distinct, words.doc[starts[first]].astype(np.int32), block.ids)
+        distinct, first, _, _ = unique(hashes)
+        return messages(block.id, second_buckets, distinct, words.doc[starts[first]].astype(DOC), block.ids)
 
     extra = ", n_words long, n_removed long, kept string"
     schema = docs.select(*keep).schema
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + extra
+    out_schema = ddl(schema) + extra
     out_arrow = pa.schema([*to_arrow_schema(schema), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def cut(block: Block, shared: np.ndarray, later: np.ndarray):
@@ -135,7 +135,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ("
         n = len(words.starts)
         gone = np.zeros(n, bool)
         if len(starts):
-            _, first, inverse, _ = _unique(hashes)
+            _, first, inverse, _ = unique(hashes)
             marked = np.ones(len(starts), bool)
             marked[first] = later > 0
             edge = np.zeros(n + 1, np.int32)
@@ -156,14 +156,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ("
     first_buckets = n_buckets(blocks, 0.4)
     second_buckets = n_buckets(blocks, 0.8)
     shared = answered(per_block(blocks, send_anchors, MESSAGE_SCHEMA), _shared, "anchors")
-    later = answered(with_answers(blocks, [shared], send_windows, MESSAGE_SCHEMA, to_arrow_schema_of(MESSAGE_SCHEMA)), _later, "windows")
-    return with_answers(blocks, [shared, later], cut, out_schema, out_arrow)
-
-
-def to_arrow_schema_of(ddl: str) -> pa.Schema:
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    later = answered(with_answers(blocks, [shared], send_windows, MESSAGE_SCHEMA), later_entries, "windows")
+    return with_answers(blocks, [shared, later], cut, out_schema)
 
 
 def digests(docs: DataFrame, window: int = 20) -> DataFrame:
