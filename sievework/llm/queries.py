@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, media, mixing, substring_dedup, suffix_dedup
+from . import byte_bpe, jaccard_join, media, mixing, substring_dedup, suffix_dedup
 from .common import read_documents
 
 
@@ -32,10 +32,15 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read_documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_webp": op1_webp,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_pareto_mix": op7_pareto_mix,
 }
