@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, media, mixing, substring_dedup, suffix_dedup, topk
+from . import byte_bpe, jaccard_join, media, mixing, substring_dedup, suffix_dedup, token_files, topk
 from .common import read_documents
 
 
@@ -42,15 +42,12 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_webp": op1_webp,
-    "op2_substring_dedup": op2_substring_dedup,
-    "op3_suffix_dedup": op3_suffix_dedup,
-    "op4_jaccard_join": op4_jaccard_join,
-    "op5_topk": op5_topk,
-    "op6_byte_bpe": op6_byte_bpe,
-    "op7_pareto_mix": op7_pareto_mix,
-}
+def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.digests(token_files.write(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
@@ -61,4 +58,14 @@ s AS (
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_webp": op1_webp,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_topk": op5_topk,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_pareto_mix": op7_pareto_mix,
+    "op8_rans": op8_rans,
+}
 ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op7_pareto_mix": mixing.ORACLE}
