@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, media, mixing, substring_dedup, suffix_dedup, token_files, topk
+from . import byte_bpe, jaccard_join, language, media, mixing, quality, substring_dedup, suffix_dedup, token_files, topk
 from .common import read_documents
 
 
@@ -48,6 +48,16 @@ def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.write(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return quality.scores(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return language.predict(docs, language.learn(docs))
+
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
@@ -67,5 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_pareto_mix": op7_pareto_mix,
     "op8_rans": op8_rans,
+    "op9_quality": op9_quality,
+    "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op7_pareto_mix": mixing.ORACLE}
