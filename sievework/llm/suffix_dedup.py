@@ -35,7 +35,7 @@ WINDOW, GRAM, FIRST_DEPTH = 100, 32, 8
 #: Contexts of a minimizer from which on its windows are exchanged one by one.
 HOT = 4096
 #: Bytes of spans in a refinement task.
-REFINED_BYTES = 3 << 20
+REFINED_BYTES = 1 << 20
 ENTRY = np.dtype([("doc", "<i4"), ("context", "<u8")])
 SPAN = np.dtype([("doc_id", "<i8"), ("place", "<i8"), ("n", "<i4")])
 LATER, SORTED, ONE_BY_ONE = 1, 2, 4
@@ -88,7 +88,8 @@ class Entries:
         self.doc = np.searchsorted(block.at, self.first, "right") - 1
         sums, inverse = _sums(block.data), _power(_INVERSE, len(block.data) + 1)
         anchor, end = self.first + marks[1], self.first + self.span
-        self.hash = mix((sums[anchor + gram] - sums[anchor]) * inverse[anchor])
+        # Minimizers have small hashes; hashed again they spread over all buckets.
+        self.hash = mix(mix((sums[anchor + gram] - sums[anchor]) * inverse[anchor]) ^ _ODD)
         self.context = mix((sums[end] - sums[self.first]) * inverse[self.first] + (self.span * 256 + marks[1]).astype(np.uint64) * _ODD)
         self.sums, self.inverse = sums, inverse
         order = np.lexsort((np.arange(len(self.n)), self.context, self.hash))
