@@ -17,8 +17,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from .common import buckets_for, materialize, pieces, small_arrow_batches, utf8
 
@@ -33,14 +31,6 @@ MESSAGE_SCHEMA = "bucket int, block_id long, hashes binary, extra binary, ids bi
 ANSWER_SCHEMA = "block_id long, bucket int, answer binary"
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
-def ddl(schema: StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-
-
 def _ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as w:
@@ -93,6 +83,11 @@ class Block:
             self.rest = r.read_all()
         self.ids = self.rest.column("doc_id").combine_chunks().cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False) if self.rest.num_rows else np.zeros(0, np.int64)
 
+    def beside(self, schema: pa.Schema, *columns) -> pa.Table:
+        """The block's other columns, and beside them new ones, as a table of the schema."""
+        arrays = [c.combine_chunks() for c in self.rest.columns] + list(columns)
+        return pa.Table.from_arrays([(a if isinstance(a, pa.Array) else pa.array(a, f.type)).cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
 
 def n_buckets(blocks: DataFrame, bytes_sent: float) -> int:
     """Buckets for messages of `bytes_sent` bytes for each byte of text."""
@@ -151,7 +146,7 @@ def answered(sent: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, n
     return materialize(sent.groupBy("bucket").applyInArrow(run, ANSWER_SCHEMA), label)
 
 
-def with_answers(blocks: DataFrame, answers: list[DataFrame], f: Callable[..., pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
+def with_answers(blocks: DataFrame, answers: list[DataFrame], f: Callable[..., pa.RecordBatch | pa.Table], schema) -> DataFrame:
     """f(block, answer of the first exchange, of the second, ...) for every block, answers in the order sent."""
     everything = None
     for k, a in enumerate(answers):

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow operator works on at once; a longer document is worked on alone.
@@ -40,6 +40,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folded(docs: DataFrame) -> tuple[DataFrame, Callable[[str], list[Column]]]:
+    """doc_id, text, and all columns but text in the column `others`, so that no name of theirs meets an operator's;
+    and a function that gives the columns back, with the text from the column it names."""
+    names = docs.columns
+    rest = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("others")
+
+    def back(text: str) -> list[Column]:
+        return [F.col(text).alias("text") if c == "text" else F.col("others").getField(c).alias(c) for c in names]
+
+    return docs.select("doc_id", "text", rest), back
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without copying, and the n+1 offsets of its rows; null is empty."""
     if column.null_count:
@@ -130,13 +142,5 @@ def join_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _BASE + (right ^ _ODD))
 
 
-def stable_id(path_salt: str, *cols) -> F.Column:
-    return F.xxhash64(F.lit(path_salt), *cols)
-
-
 def buckets_for(n_bytes: int, each: int = 12 << 20) -> int:
     return max(8, -(-n_bytes // each))
-
-
-def record(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)

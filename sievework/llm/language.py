@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import materialize, small_arrow_batches
+from .common import folded, small_arrow_batches
 from .quality import held_out
 
 PROFILE, LONGEST = 300, 3
@@ -128,11 +129,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     return Profiles(profiles)
 
 
-def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document, after the columns `keep`."""
+def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, held_out, lang_pred and score of every document."""
     small_arrow_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col("doc_id").alias("__id"), held_out(F.col("doc_id")).alias("__held"), F.col("text").alias("__text"))
-    schema = rows.select(*keep, F.col("__id").alias("doc_id" if not keep else "__id"), F.col("__held").alias("held_out"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    rows = docs.select(*keep, held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("__text"))
+    schema = StructType([*rows.drop("__text").schema, *StructType.fromDDL("lang_pred string, score double")])
 
     def run(batches):
         for b in batches:
@@ -144,5 +145,5 @@ def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ()) ->
 
 def accepted(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """The documents whose language is known, with their own columns."""
-    rows = predict(docs, profiles, tuple(docs.columns))
-    return rows.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    rows, back = folded(docs)
+    return predict(rows.select("*", F.col("text").alias("body")), profiles, ("others", "body")).filter(F.col("lang_pred") != UNKNOWN).select(*back("body"))

@@ -17,12 +17,12 @@ table gives an empty table. Windows are compared by 64-bit hashes.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .blocks import DOC, MESSAGE_SCHEMA, Block, answered, ddl, messages, n_buckets, pack, per_block, with_answers
+from .blocks import DOC, MESSAGE_SCHEMA, Block, answered, messages, n_buckets, pack, per_block, with_answers
 from .common import join_hashes, ragged, span_hashes, word_spans
 
 PERIOD = 13
@@ -108,8 +108,10 @@ def _repeated(words: Words, shared: np.ndarray) -> np.ndarray:
     return places[((count > 1) | (shared > 0))[inverse]]
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns `keep`, n_words, n_removed, and kept: the words that stay, joined by one space."""
+def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ("doc_id",), text: str = "text", whole: bool = False) -> DataFrame:
+    """The columns `keep`, n_words, n_removed, and kept: the words that stay, joined by one space.
+
+    With `whole`, a text that loses no word is kept as it is."""
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
     blocks = pack(docs, keep, text)
@@ -124,10 +126,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ("
         distinct, first, _, _ = unique(hashes)
         return messages(block.id, second_buckets, distinct, words.doc[starts[first]].astype(DOC), block.ids)
 
-    extra = ", n_words long, n_removed long, kept string"
-    schema = docs.select(*keep).schema
-    out_schema = ddl(schema) + extra
-    out_arrow = pa.schema([*to_arrow_schema(schema), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+    schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL("n_words long, n_removed long, kept string")])
+    arrow = to_arrow_schema(schema)
 
     def cut(block: Block, shared: np.ndarray, later: np.ndarray):
         words = Words(block, window)
@@ -148,16 +148,19 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ("
         ends = np.cumsum(sizes)
         kept[ends - 1] = 32
         bounds = np.concatenate([[0], ends])[np.searchsorted(stay, words.at)]
-        whole = kept.tobytes()
-        texts = [whole[a : max(a, b - 1)].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        joined = kept.tobytes()
+        texts = [joined[a : max(a, b - 1)].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         removed = np.add.reduceat(np.concatenate([gone, [False]]).astype(np.int64), words.at[:-1]) * (np.diff(words.at) > 0) if len(block.ids) else np.zeros(0, np.int64)
-        return pa.Table.from_arrays([*(c.combine_chunks() for c in block.rest.columns), pa.array(np.diff(words.at)), pa.array(removed), pa.array(texts, pa.string())], schema=out_arrow)
+        if whole:
+            for k in np.flatnonzero(removed == 0).tolist():
+                texts[k] = block.data[block.at[k] : block.at[k + 1]].tobytes().decode()
+        return block.beside(arrow, np.diff(words.at), removed, texts)
 
     first_buckets = n_buckets(blocks, 0.4)
     second_buckets = n_buckets(blocks, 0.8)
     shared = answered(per_block(blocks, send_anchors, MESSAGE_SCHEMA), _shared, "anchors")
     later = answered(with_answers(blocks, [shared], send_windows, MESSAGE_SCHEMA), later_entries, "windows")
-    return with_answers(blocks, [shared, later], cut, out_schema)
+    return with_answers(blocks, [shared, later], cut, schema)
 
 
 def digests(docs: DataFrame, window: int = 20) -> DataFrame:

@@ -26,8 +26,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .blocks import ANSWER_SCHEMA, DOC, MESSAGE_SCHEMA, Block, answered, ddl, messages, n_buckets, pack, per_block, slices, with_answers
+from .blocks import ANSWER_SCHEMA, DOC, MESSAGE_SCHEMA, Block, answered, messages, n_buckets, pack, per_block, slices, with_answers
 from .common import _BASE, _BYTE, _INVERSE, _ODD, _power, materialize, mix, ragged
 from .substring_dedup import later_entries, unique
 
@@ -229,11 +230,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
         single = pa.Table.from_batches([single]).append_column("kind", pa.array([ONE_BY_ONE] * single.num_rows, pa.int32()))
         return pa.concat_tables([spans, single.cast(KINDS)])
 
-    schema = docs.select(*keep).schema
-    spans_type = "array<struct<start:bigint,end:bigint>>"
-    out_schema = ddl(schema) + f", n_bytes long, n_removed long, spans {spans_type}, kept binary"
-    pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    out_arrow = pa.schema([*to_arrow_schema(schema), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pair)), ("kept", pa.binary())])
+    added = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+    schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL(added)])
+    arrow = to_arrow_schema(schema)
 
     def cut(block: Block, codes: np.ndarray, by_order: np.ndarray, by_hash: np.ndarray):
         e = Entries(block, window, gram)
@@ -267,19 +266,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
         a, b = np.flatnonzero(starts_run), np.flatnonzero(ends_run) + 1
         at = np.searchsorted(a, block.at)
         base = block.at[np.searchsorted(block.at, a, "right") - 1]
-        spans = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(a - base), pa.array(b - base)], fields=list(pair)))
+        spans = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(a - base), pa.array(b - base)], ["start", "end"]))
         before = np.concatenate([[0], np.cumsum(~gone)])
         kept_at = before[block.at]
         kept = block.data[~gone].tobytes()
         texts = [kept[x:y] for x, y in zip(kept_at[:-1].tolist(), kept_at[1:].tolist(), strict=True)]
         sizes = np.diff(block.at)
-        return pa.Table.from_arrays([*(c.combine_chunks() for c in block.rest.columns), pa.array(sizes), pa.array(sizes - np.diff(kept_at)), spans, pa.array(texts, pa.binary())], schema=out_arrow)
+        return block.beside(arrow, sizes, sizes - np.diff(kept_at), spans, texts)
 
     codes = answered(per_block(blocks, send_entries, MESSAGE_SCHEMA), _judge, "entries", ENTRY)
     sent = materialize(with_answers(blocks, [codes], send_windows, MESSAGE_SCHEMA + ", kind int"), "spans")
     by_order = materialize(sent.filter(F.col("kind") == SORTED).groupBy("bucket").applyInArrow(lambda t: later_windows(t, window), ANSWER_SCHEMA), "sorted")
     by_hash = answered(sent.filter(F.col("kind") == ONE_BY_ONE).drop("kind"), later_entries, "windows")
-    return with_answers(blocks, [codes, by_order, by_hash], cut, out_schema)
+    return with_answers(blocks, [codes, by_order, by_hash], cut, schema)
 
 
 KINDS = pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("hashes", pa.binary()), ("extra", pa.binary()), ("ids", pa.binary()), ("kind", pa.int32())])
