@@ -230,6 +230,8 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64(text).alias("__text_hash"), F.col(text).alias("__text"))
     # One row for each head, though rows may repeat.
     wanted = near.select(F.col("head.doc_id").alias("__id"), F.col("head.text_hash").alias("__hash"))
+    # The heads grow with the documents, so they are not to be broadcast while they happen to be few.
+    wanted = wanted.hint("shuffle_merge")
     texts = texts.join(wanted, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi").dropDuplicates(["__doc", "__text_hash"])
     work = units.join(texts, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")))
     work = work.select("part", "first_block", "second_block", "block", "set_id", "copies", "__text")
