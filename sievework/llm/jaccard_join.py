@@ -253,3 +253,12 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         (F.col("set_id").isNull() | (mine == F.col("class_head"))).alias("first"),
     )
+
+
+def first_of_each_class(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that stand for their classes, with their own columns; of repeated rows one stays."""
+    firsts = join(docs, text).filter("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    rows = docs.withColumn("__own", F.xxhash64(text))
+    # The ids grow with the documents; they are not to be broadcast while they happen to be few.
+    kept = rows.join(firsts.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
