@@ -52,9 +52,22 @@ class Table:
         self.symbols, self.freq = symbols.astype(np.uint32), freq.astype(np.uint64)
         self.start = np.cumsum(self.freq) - self.freq
 
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """The place of each id in the table; ids must be in it."""
+        if not len(ids) or self.symbols[-1] >= 1 << 20:
+            return np.searchsorted(self.symbols, ids)
+        dense = np.zeros(int(self.symbols[-1]) + 1, np.int32)
+        dense[self.symbols] = np.arange(len(self.symbols))
+        return dense[ids]
+
     @classmethod
     def of(cls, ids: np.ndarray) -> Table:
-        symbols, counts = np.unique(ids, return_counts=True)
+        if len(ids) and ids.max() < 1 << 20:
+            counts = np.bincount(ids)
+            symbols = np.flatnonzero(counts)
+            counts = counts[symbols]
+        else:
+            symbols, counts = np.unique(ids, return_counts=True)
         return cls(symbols, frequencies(counts))
 
     def slots(self) -> np.ndarray:
@@ -63,7 +76,7 @@ class Table:
 
 def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES) -> bytes:
     """Checkpoints and words of one block; the first checkpoint has the states to start from."""
-    where = np.searchsorted(table.symbols, ids)
+    where = table.places(ids)
     freq, start = table.freq[where], table.start[where]
     steps = -(-len(ids) // lanes)
     x = np.full(lanes, _FLOOR, np.uint64)

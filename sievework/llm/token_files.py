@@ -3,15 +3,13 @@
 Documents are dealt by ranges of doc_id and sorted; each task writes files of some million ids, rows of a table
 in the shared folder. The files' totals give the ids before each file, so all files are read in parallel.
 
-The pre-tokenizer drops white space and no piece crosses it, so words are tokenized once and remembered, up to
-a bounded number. Defined results: null text is empty and has the end id alone; null doc_id comes first; rows
+Defined results: null text is empty and has the end id alone; null doc_id comes first; rows
 that repeat a doc_id follow each other in an order that their texts fix; an empty table gives no files.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,59 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import materialize, pieces, ragged, small_arrow_batches
+from .common import materialize, pieces, small_arrow_batches
+from .word_cache import WordCache
 
 FILE_IDS = 1 << 22
-#: Words that a worker remembers; with one more it starts anew.
-REMEMBERED = 600_000
-
-
-class Words:
-    """A tokenizer that remembers the ids of words."""
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
-        self.forget()
-
-    def forget(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.ids, self.start, self.size = array("I"), array("q"), array("q")
-
-    def learn(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.slot[w] = len(self.start)
-            self.start.append(len(self.ids))
-            self.size.append(len(e.ids))
-            self.ids.extend(e.ids)
-
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each with the end id, and their numbers."""
-        if len(self.slot) > REMEMBERED:
-            self.forget()
-        words, counts = [], []
-        for t in texts:
-            own = t.split()  # of bytes: at \x20 and \x09-\x0D
-            counts.append(len(own))
-            words += own
-        get = self.slot.get
-        slots = [get(w, -1) for w in words]
-        if new := {w for w, s in zip(words, slots, strict=True) if s < 0}:
-            self.learn(sorted(new))
-            slots = [get(w) for w in words]
-        slots = np.array(slots, np.int64)
-        starts, sizes = np.frombuffer(self.start, np.int64)[slots] if len(slots) else slots, np.frombuffer(self.size, np.int64)[slots] if len(slots) else slots
-        flat = np.frombuffer(self.ids, np.uint32)[ragged(starts, sizes)] if len(slots) else np.zeros(0, np.uint32)
-        upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
-        return np.insert(flat, upto, end_id), np.diff(upto, prepend=0) + 1
-
-
-_made: dict[str, Words] = {}
+
+
+_made: dict[str, WordCache] = {}
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "text") -> DataFrame:
@@ -83,7 +35,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "te
     names = ["part", "number", "n_docs", "n_ids", "file"]
 
     def run(batches):
-        words = _made.get(tokenizer_path) or _made.setdefault(tokenizer_path, Words(tokenizer_path))
+        words = _made.get(tokenizer_path) or _made.setdefault(tokenizer_path, WordCache(tokenizer_path))
         held, size, number = [], 0, 0
 
         def flush():
@@ -93,8 +45,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "te
 
         for b in batches:
             for part, data, at in pieces(b, "__text"):
-                whole = data.tobytes()
-                ids, counts = words.encode([whole[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], end_id)
+                ids, counts = words.encode(data, at, end_id)
                 column = part.column(0)
                 held.append((column.fill_null(0).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False), counts, ids))
                 size += len(ids)
