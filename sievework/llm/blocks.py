@@ -18,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialize, pieces, small_arrow_batches, utf8
+from .common import buckets_for, materialize, pieces, small_arrow_batches, trim, utf8
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: What goes with a hash at least: its first document in the block.
 DOC = np.dtype([("doc", "<i4")])
 NULL_ID = np.iinfo(np.int64).min
@@ -62,6 +62,7 @@ def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
                 if parts and size + len(data) > BLOCK_BYTES:
                     yield emit(parts, number)
                     parts, size, number = [], 0, number + 1
+                    trim()
                 parts.append(part)
                 size += len(data)
         if parts:
@@ -124,6 +125,7 @@ def per_block(blocks: DataFrame, f: Callable[[Block], pa.RecordBatch], schema) -
         for b in batches:
             for row in b.to_pylist():
                 yield f(Block(row))
+                trim()
 
     return blocks.mapInArrow(run, schema)
 
@@ -141,6 +143,7 @@ def answered(sent: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, n
         ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[x["doc"]] for r, x in zip(rows, extra, strict=True)]) if rows[0]["ids"] else np.zeros(0, np.int64)
         out = f(np.concatenate(parts), np.concatenate(extra), ids, np.repeat(np.arange(len(rows)), sizes)).astype(np.uint8)
         ends = np.cumsum(sizes)
+        trim()
         return pa.table({"block_id": pa.array([r["block_id"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "answer": pa.array([zstandard.ZstdCompressor(1).compress(out[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
 
     return materialize(sent.groupBy("bucket").applyInArrow(run, ANSWER_SCHEMA), label)
@@ -160,6 +163,7 @@ def with_answers(blocks: DataFrame, answers: list[DataFrame], f: Callable[..., p
             got[r["step"]].append((r["bucket"], r["answer"]))
         parts = [b"".join(zstandard.ZstdDecompressor().decompress(x) for _, x in sorted(g)) for g in got]
         out = f(Block(left.to_pylist()[0]), *(np.frombuffer(p, np.uint8) for p in parts))
+        trim()
         return out if isinstance(out, pa.Table) else pa.Table.from_batches([out])
 
     return blocks.groupBy("block_id").cogroup(everything.groupBy("block_id")).applyInArrow(run, schema)

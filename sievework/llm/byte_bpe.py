@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches
+from .common import small_arrow_batches, trim
 
 #: Characters of a text that go to the library at once.
 PIECE_CHARS = 50_000
@@ -104,7 +104,21 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str, keep: tuple[str, ..
     return kept.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    out = decode(encode(docs, rank_path, pattern), rank_path, pattern)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, rank_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns `keep`, n_tokens, ids_sha256 and decoded_sha256: `encode` and `decode` in one pass, without the ids."""
+    small_arrow_batches(docs.sparkSession)
+    kept = docs.select(*keep, F.col(text).alias("__text"))
+    schema = kept.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+
+    def run(batches):
+        bpe = tokenizer(rank_path, pattern)
+        for b in batches:
+            rows = []
+            for t in b.column(len(keep)).to_pylist():
+                raw = bpe.encode(t or "").astype("<u4").tobytes()
+                rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(bpe.decode(np.frombuffer(raw, "<u4"))).hexdigest()))
+            n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
+            trim()
+
+    return kept.mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give memory that is no longer used back to the system: Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: nothing to trim
+    _libc = None
+
+
 def folded(docs: DataFrame) -> tuple[DataFrame, Callable[[str], list[Column]]]:
     """doc_id, text, and all columns but text in the column `others`, so that no name of theirs meets an operator's;
     and a function that gives the columns back, with the text from the column it names."""

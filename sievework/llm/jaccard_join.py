@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, join_hashes, materialize, mix, pieces, ragged, small_arrow_batches, span_hashes, utf8, word_spans
+from .common import _ODD, join_hashes, materialize, mix, pieces, ragged, small_arrow_batches, span_hashes, trim, utf8, word_spans
 from .components import connected_components
 from .substring_dedup import sequence_hashes
 
@@ -109,6 +109,7 @@ def describe(docs: DataFrame, text: str = "text") -> DataFrame:
                 none = n == 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids.view(np.int64), mask=none), lists], names=["doc_id", "text_hash", "n", "set_id", "bands"])
+            trim()
 
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, set_id long, bands array<long>")
 
@@ -124,7 +125,7 @@ def _agreeing(signature: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: fl
 
 
 #: Pairs compared at once.
-PAIRS_AT_ONCE = 1 << 17
+PAIRS_AT_ONCE = 1 << 15
 
 
 def candidate_pairs(bands: np.ndarray, side: np.ndarray | None):
@@ -205,6 +206,8 @@ def _join_unit(table: pa.Table) -> pa.Table:
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
+    if len(hashes) > 100_000:
+        trim()
     order = np.array([ids[find(k)] for k in range(len(ids))], np.int64)
     return pa.table({"set_id": pa.array(ids, pa.int64()), "links": pa.array(links), "root": pa.array(order)})
 

@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import folded, small_arrow_batches
+from .common import folded, small_arrow_batches, trim
 from .quality import held_out
 
 PROFILE, LONGEST = 300, 3
 #: About the most documents that a language's profile learns from.
 SAMPLE = 5_000
 UNKNOWN = "und"
+#: n-grams that a task gathers before it passes on their counts.
+COUNTED = 500_000
 _letters: list[np.ndarray] = []
 
 
@@ -116,9 +118,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(ngrams(text or ""))
                 size += len(held[lang][-1][0])
-                if size > 2_000_000:
+                if size > COUNTED:
                     yield from rows()
                     held, size = {}, 0
+                    trim()
         yield from rows()
 
     counts = chosen.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -139,6 +142,7 @@ def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_i
         for b in batches:
             got = [profiles.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=schema.names)
+            trim()
 
     return rows.mapInArrow(run, schema)
 
