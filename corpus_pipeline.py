@@ -48,9 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, and digests of the ids and of the bytes they decode to."""
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = byte_bpe.decode(byte_bpe.encode(docs, path, pattern, ("doc_id", "source")), path, pattern, ("doc_id", "source"))
-    return out.select("doc_id", "source", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("doc_id", "source"))
 
 
 STAGES = [
