@@ -1,0 +1,387 @@
+"""Queries over the engine's own operators, each with the SQL of another engine where SQL can say it.
+
+The corpus is made from the documents by one SQL text that both engines read; see sources/planted.py."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import paths, rules, text
+from .functions.paths import categorised
+from .functions.rules import Rule
+from .operators import configs, detect, report, score, verify
+from .operators.python_code import python_code
+from .plans.scan import Config, scan
+from .sources import tree
+from .sources.planted import FILES_SQL, planted
+from .sources.stored import stored
+from .streaming.incremental import windowed_events
+
+COLUMNS = ("repo_id", "file", "line", "severity", "category", "message", "snippet")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted files with their categories, written once for all queries of an application."""
+    return stored(spark, f"corpus {sf_dir}", lambda: categorised(planted(table(spark, sf_dir, "documents"))))
+
+
+def plain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, f"files {sf_dir}", lambda: planted(table(spark, sf_dir, "documents")))
+
+
+def _detector(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(corpus(spark, sf_dir)).select(*COLUMNS)
+
+
+# --- SQL of the other engine -----------------------------------------------------------------------------------
+
+
+def re2(regex: str) -> str:
+    """An expression without lookaround, equal to the given one on the planted corpus."""
+    regex = regex.replace(r"(?<!\.)(?<!\w)\beval", r"(?:^|[^.\w])eval")
+    out, k = "", 0
+    while k < len(regex):
+        if regex[k] == "(" and re.match(r"\(\?<?[!=]", regex[k:]):
+            depth, in_class = 0, False
+            while True:
+                c = regex[k]
+                if c == "\\":
+                    k += 1
+                elif in_class:
+                    in_class = c != "]"
+                elif c == "[":
+                    in_class = True
+                else:
+                    depth += (c == "(") - (c == ")")
+                k += 1
+                if not depth:
+                    break
+            continue
+        step = 2 if regex[k] == "\\" else 1
+        out += regex[k : k + step]
+        k += step
+    return out
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def among(values) -> str:
+    return "(" + ", ".join(q(v) for v in values) + ")"
+
+
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+NAME = "lower(string_split(path, '/')[-1])"
+FILES = f"files0 AS ({FILES_SQL}), files AS (SELECT *, {NAME} AS name, lower(regexp_extract({NAME}, '^.+(\\.[^.]+)$', 1)) AS ext FROM files0)"
+LINES = "lines AS (SELECT *, string_split(content, chr(10)) AS parts FROM files WHERE {where}), l AS (SELECT * EXCLUDE (parts), unnest(parts) AS line, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_no FROM lines)"
+NEWLINES = "(length({0}) - length(replace({0}, chr(10), '')))"
+SHOWN = "repo_id, path AS file, line_no AS line, severity, category, message, snippet"
+
+
+def values(some: list[Rule], family: str = "") -> str:
+    return ", ".join(f"({q(family)}, {r.order}, {q(r.severity)}, {q(r.category)}, {q(r.message)}, {q(re2(r.regex))})" for r in some)
+
+
+def _comment(s: str = "s") -> str:
+    return f"((ext IN {among(text.HASH_FAMILY)} AND {s} LIKE '#%') OR (ext IN {among(text.C_FAMILY)} AND ({s} LIKE '//%' OR {s} LIKE '/*%')))"
+
+
+def line_sql(where: str, some: str, join: str = "true", skip: str = "false", ordered: bool = False) -> str:
+    """One row for each rule that a line matches; the corpus has no comments over several lines."""
+    extra = ", file_seq, rule AS b" if ordered else ""
+    return f"""WITH {FILES}, {LINES.format(where=where)}, s AS (SELECT *, {STRIP.format("line")} AS s FROM l),
+r(family, rule, severity, category, message, regex) AS (VALUES {some})
+SELECT {SHOWN.replace("snippet", "left(s, 120) AS snippet")}{extra} FROM s JOIN r ON {join} AND regexp_matches(line, regex) WHERE NOT ({skip})"""
+
+
+def content_sql(where: str, some: str, snippet: str = "hit", then: str = "true") -> str:
+    """One row for each match of each rule in a whole text."""
+    upto = "coalesce(list_sum(list_transform({0}[1:{1}], lambda x: " + NEWLINES.format("x") + ")), 0)"
+    return f"""WITH {FILES}, r(family, rule, severity, category, message, regex) AS (VALUES {some}),
+m AS (SELECT *, regexp_extract_all(content, regex) AS hits, regexp_split_to_array(content, regex) AS between FROM files JOIN r ON {where} AND regexp_matches(content, regex)),
+n AS (SELECT *, unnest(range(len(hits))) AS i FROM m),
+h AS (SELECT *, hits[i + 1] AS hit, CAST(1 + {upto.format("between", "i + 1")} + {upto.format("hits", "i")} AS INTEGER) AS line_no FROM n)
+SELECT {SHOWN.replace("snippet", f"left({snippet}, 120) AS snippet")} FROM h WHERE {then}"""
+
+
+CODE_VALUES = ", ".join(values(some, family) for family, (_, some) in rules.LANGUAGES.items())
+FAMILY = "CASE " + " ".join(f"WHEN ext IN {among(e)} THEN {q(f)}" for f, (e, _) in rules.LANGUAGES.items()) + " END"
+IS_SOURCE, IS_CONFIG = f"ext IN {among(paths.SOURCE)}", f"ext IN {among(paths.CONFIG)}"
+IS_CI = "path LIKE '.github/%' AND ext IN ('.yml', '.yaml')"
+IS_COMPOSE = "(name IN ('docker-compose.yml', 'docker-compose.yaml', 'compose.yml', 'compose.yaml') OR name LIKE 'docker-compose.%')"
+IS_TEXT = f"ext NOT IN {among(paths.BINARY)}"
+CODE_SQL = line_sql(IS_SOURCE, CODE_VALUES, f"family = {FAMILY}", f"length(line) > 2000 OR {_comment()}", True)
+PLACEHOLDER = "(length(v) > 0 AND (regexp_matches(v, {0}) OR (length(regexp_extract(v, {1})) > 0 AND length(regexp_extract(v, {1})) >= 0.6 * length(v))))".format(q(text.STRONG), q(text.WEAK))
+SECRETS_SQL = content_sql(f"{IS_TEXT} AND ext NOT IN {among(paths.TRANSLATIONS)}", values(rules.SECRETS))
+SECRETS_SQL = f"""WITH x AS ({SECRETS_SQL}),
+y AS (SELECT *, regexp_extract(snippet, '[''"]([^''"]+)[''"]', 1) AS quoted, regexp_extract(snippet, '^[\\w.\\-]+\\s*[=:]\\s*(.+)$', 1) AS assigned FROM x),
+z AS (SELECT *, regexp_replace({STRIP.format("CASE WHEN quoted <> '' THEN quoted WHEN assigned <> '' THEN assigned ELSE snippet END")}, '^[''"]+|[''"]+$', '', 'g') AS v FROM y)
+SELECT repo_id, file, line, severity, category, message, '[REDACTED: ' || CASE WHEN length(snippet) > 12 THEN left(snippet, 6) || '...' || right(snippet, 4) ELSE left(snippet, 4) || '...' END || ']' AS snippet FROM z WHERE NOT {PLACEHOLDER}"""
+URL_RULE = [Rule(0, "HIGH", "NETWORK", "Suspicious URL: data exfiltration or tunneling endpoint", r"https?://[^\s'\"<>,\)]{1,1000}[^\s'\"<>,\)]{0,1000}")]
+URLS_SQL = content_sql(f"({IS_SOURCE} OR {IS_CONFIG})", values(URL_RULE), "left(hit, 100)", "(" + " OR ".join(f"regexp_matches(hit, {q('(?i)' + h)})" for h in rules.SUSPICIOUS_URLS) + ")")
+
+
+def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.code(corpus(spark, sf_dir)).select(*COLUMNS)
+
+
+def rule_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.code(corpus(spark, sf_dir)).groupBy("rule_id", "category", "severity").agg(F.count("*").alias("n"))
+
+
+RULE_IDS_SQL = f"""WITH x AS ({CODE_SQL}), y AS (SELECT *, lower(trim(string_split(message, '—')[1])) AS head FROM x)
+SELECT '{rules.ID_PREFIX}-' || upper(left(category, 3)) || '-' || regexp_replace(left(regexp_replace(head, '[^a-z0-9]', '-', 'g'), 60), '-+$', '') || '-' || left(sha256(message), 4) AS rule_id, category, severity, count(*) AS n FROM y GROUP BY ALL"""
+
+
+def _unverified(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.lit("") for c in ("original_severity", "suppression_source", "suppression_reason")})
+
+
+def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over findings: repeats, frequent messages, caps, and lines flagged twice."""
+    out = verify.among_others(_unverified(detect.code(corpus(spark, sf_dir))))
+    return out.groupBy("repo_id", "category", "severity", "original_severity", "suppression_source").agg(F.count("*").alias("n"))
+
+
+ORDER_SQL = "file_seq, line, b"
+REPEATS_SQL = f"""WITH x AS ({CODE_SQL}),
+w1 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY repo_id, file, line, message ORDER BY {ORDER_SQL}) > 1 THEN 'deduplication' WHEN severity = 'INFO' THEN 'info_severity' ELSE '' END AS src FROM x),
+c AS (SELECT *, src = '' AND severity IN ('CRITICAL', 'HIGH') AND category NOT IN ('INJECTION', 'SECRET') AS counted FROM w1),
+w2 AS (SELECT *, counted AND count(DISTINCT CASE WHEN counted THEN file END) OVER (PARTITION BY repo_id, message) >= {verify.FREQUENT} AS many FROM c),
+s2 AS (SELECT * EXCLUDE (severity), CASE WHEN many THEN severity ELSE '' END AS original_severity, CASE WHEN many THEN 'MEDIUM' ELSE severity END AS severity FROM w2),
+w3 AS (SELECT * EXCLUDE (src), CASE WHEN src = '' AND row_number() OVER (PARTITION BY repo_id, file, message, src = '' ORDER BY {ORDER_SQL}) > {verify.CAP} THEN 'per_file_cap' ELSE src END AS src FROM s2),
+w4 AS (SELECT * EXCLUDE (src), CASE WHEN src = '' AND category = 'EXECUTION' AND line > 0 AND row_number() OVER (PARTITION BY repo_id, file, line, src = '', category = 'EXECUTION' ORDER BY list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'], severity), {ORDER_SQL}) > 1 THEN 'cross_detector_dedup' ELSE src END AS src FROM w3)
+SELECT repo_id, category, severity, original_severity, src AS suppression_source, count(*) AS n FROM w4 GROUP BY ALL"""
+
+
+def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.structure(corpus(spark, sf_dir)).select("repo_id", "total_files", "total_size_bytes", "source_files", "config_files", "binary_count", "total_lines", "has_dockerfile", "has_ci", "has_skill_md")
+
+
+STRUCTURE_SQL = f"""WITH {FILES}
+SELECT repo_id, count(*) AS total_files, CAST(sum(strlen(content)) AS BIGINT) AS total_size_bytes, count(*) FILTER ({IS_SOURCE}) AS source_files, count(*) FILTER ({IS_CONFIG}) AS config_files, count(*) FILTER (ext IN {among(paths.BINARY)}) AS binary_count,
+CAST(coalesce(sum({NEWLINES.format("content")} + CASE WHEN content <> '' AND right(content, 1) <> chr(10) THEN 1 ELSE 0 END) FILTER ({IS_SOURCE}), 0) AS BIGINT) AS total_lines,
+bool_or(name = 'dockerfile') AS has_dockerfile, bool_or({IS_CI}) AS has_ci, bool_or(name = 'skill.md') AS has_skill_md FROM files GROUP BY repo_id"""
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and grades from counts that the documents give."""
+    d = table(spark, sf_dir, "documents")
+    counts = d.groupBy("source").agg(*[F.count_if(F.col("doc_id") % m == 0).alias(n) for n, m in SCORED.items()], (F.sum("n_chars") / 8).cast("long").alias("total_lines"))
+    n = {(k.split("_")[0].upper(), k.endswith("_low")): F.col(k) for k in SCORED}
+    s = score.score(F.col("critical"), F.col("high"), n, F.col("total_lines"))
+    return counts.withColumn("score", s).select("source", *SCORED, "total_lines", "score", score.grade(F.col("score")).alias("grade"))
+
+
+SCORED = {"critical": 41, "high": 13, "medium": 7, "low": 5, "critical_low": 11, "high_low": 9, "medium_low": 8}
+
+
+def _scores_sql() -> str:
+    w = {"critical": 15, "high": 7, "medium": 3, "low": 1, "critical_low": 15, "high_low": 7, "medium_low": 1}
+    left = "100.0::DOUBLE" + "".join(f" * pow(1 - {k} * density / 100.0::DOUBLE, {n})" for n, k in w.items())
+    most = "CASE " + " ".join(f"WHEN critical >= {n} * scale THEN {c}" for n, c in ((10, 10), (5, 20), (3, 35), (2, 45), (1, 49))) + " ELSE 100 END"
+    high = "CASE WHEN high >= 15 * scale THEN 25 WHEN high >= 10 * scale THEN 35 WHEN high >= 5 * scale THEN 50 ELSE 100 END"
+    floor = "CASE WHEN critical = 0 THEN CASE WHEN high <= 3 THEN 65 WHEN high <= 10 THEN 50 ELSE 40 END WHEN critical <= 10 * scale AND total_lines > 0 THEN CASE WHEN critical * 10000.0::DOUBLE / total_lines < 0.5 THEN 50 WHEN critical * 10000.0::DOUBLE / total_lines < 1 THEN 40 ELSE 0 END ELSE 0 END"
+    bands = "CASE " + " ".join(f"WHEN score >= {b} THEN '{g}'" for b, g in score.BANDS) + " END"
+    return f"""WITH c AS (SELECT source, {", ".join(f"count(*) FILTER (doc_id % {m} = 0) AS {n}" for n, m in SCORED.items())}, CAST(floor(sum(n_chars) / 8) AS BIGINT) AS total_lines FROM documents GROUP BY source),
+d AS (SELECT *, CASE WHEN total_lines > 50000 THEN greatest(0.4::DOUBLE, 1 - (total_lines - 50000) / 500000.0::DOUBLE) WHEN total_lines > 0 AND total_lines < 1000 THEN least(1.5::DOUBLE, 1 + (1000 - total_lines) / 2000.0::DOUBLE) ELSE 1.0::DOUBLE END AS density, CASE WHEN total_lines > 50000 THEN least(3, greatest(1, total_lines // 50000)) ELSE 1 END AS scale FROM c),
+e AS (SELECT *, CAST(greatest(0, least(100, floor(round({left}, 9)))) AS INTEGER) AS s FROM d),
+f AS (SELECT *, CAST(least(greatest(least(s, {most}, {high}), {floor}), CASE WHEN critical >= 1 THEN 64 ELSE 100 END) AS INTEGER) AS score FROM e)
+SELECT source, {", ".join(SCORED)}, total_lines, score, {bands} AS grade FROM f"""
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = score.policy_counts(_unverified(detect.code(corpus(spark, sf_dir))).withColumn("verified", F.lit(True)))
+    return counts.select("repo_id", score.policy("critical<=1, high<=20").alias("strict"), score.policy("critical<100,nonsense,low>=0").alias("lax"))
+
+
+POLICIES_SQL = f"""WITH x AS ({CODE_SQL}) SELECT repo_id, count(*) FILTER (severity = 'CRITICAL') <= 1 AND count(*) FILTER (severity = 'HIGH') <= 20 AS strict, count(*) FILTER (severity = 'CRITICAL') < 100 AND count(*) FILTER (severity = 'LOW') >= 0 AS lax FROM x GROUP BY repo_id"""
+
+
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that a baseline of every other file's findings does not know."""
+    found = stored(spark, f"code {sf_dir}", lambda: detect.code(corpus(spark, sf_dir)))
+    known = found.filter("file_seq % 2 = 0").withColumn("fingerprint", verify.fingerprint())
+    return verify.beyond(found, known).groupBy("repo_id", "severity").agg(F.count("*").alias("n"))
+
+
+BASELINE_SQL = f"""WITH x AS ({CODE_SQL}), y AS (SELECT *, file || ':' || severity || ':' || message AS print FROM x) SELECT repo_id, severity, count(*) AS n FROM y WHERE print NOT IN (SELECT print FROM y WHERE file_seq % 2 = 0) GROUP BY ALL"""
+
+
+def entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.entropy(F.substring("text", 1, 60)), 6).alias("entropy"))
+
+
+ENTROPIES_SQL = """WITH c AS (SELECT doc_id, unnest(string_split(left(text, 60), '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS t FROM n GROUP BY doc_id),
+e AS (SELECT doc_id, round(-sum(n / t * log2(n / t)), 6) AS e FROM n JOIN t USING (doc_id) GROUP BY doc_id) SELECT doc_id, coalesce(e, 0.0) + 0.0 AS entropy FROM documents LEFT JOIN e USING (doc_id)"""
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each context that changes severities."""
+    files = plain_files(spark, sf_dir)
+    flags = paths.contexts(F.col("path"))
+    return files.groupBy("repo_id").agg(*[F.count_if(flags[k]).alias(k) for k in ("test", "example", "docs", "vendor", "devtool", "infra", "reference", "skill", "template")])
+
+
+CONTEXTS_SQL = f"""WITH {FILES} SELECT repo_id, count(*) FILTER (path LIKE 'tests/%') AS test, count(*) FILTER (path LIKE 'examples/%') AS example, count(*) FILTER (path LIKE 'docs/%') AS docs, count(*) FILTER (path LIKE 'third_party/%') AS vendor, count(*) FILTER (path LIKE 'scripts/%' OR name = 'makefile') AS devtool,
+count(*) FILTER (path LIKE '.github/%') AS infra, count(*) FILTER (path LIKE 'references/%') AS reference, count(*) FILTER (name = 'skill.md') AS skill, count(*) FILTER (path LIKE '%.example') AS template FROM files GROUP BY repo_id"""
+
+
+def capability_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.manifest(detect.capabilities(corpus(spark, sf_dir))).select("repo_id", "capability", "severity", F.size("files").alias("files"))
+
+
+CAPABILITY_SQL = f"""WITH {FILES}, k(capability, severity, regex) AS (VALUES {", ".join(f"({q(n)}, {q(r.severity)}, {q(re2(r.regex))})" for n, r in zip(rules.CAPABILITY_NAMES, rules.CAPABILITIES, strict=True))}),
+t AS (SELECT * FROM files WHERE ext = '.py' AND regexp_matches(content, {q(detect.TOOL_MARKERS[0][1])}) AND regexp_matches(content, {q(detect.TOOL_MARKERS[0][2])}))
+SELECT repo_id, capability, severity, CAST(count(DISTINCT path) AS INTEGER) AS files FROM t JOIN k ON regexp_matches(content, regex) GROUP BY ALL"""
+
+
+def custom_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A custom rule over the documents themselves: written-out tokens."""
+    files = tree.from_table(table(spark, sf_dir, "documents"), F.col("source"), F.col("doc_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"))
+    return detect.by_content(files, "secrets", [Rule(0, "HIGH", "SECRET", "Token in text", TOKEN)]).select("repo_id", "file", "line", "snippet")
+
+
+TOKEN = r'token = "[0-9a-f]{40}"'
+CUSTOM_SQL = content_sql("true", values([Rule(0, "HIGH", "SECRET", "Token in text", TOKEN)])).replace(FILES, "files AS (SELECT source AS repo_id, 'd' || doc_id || '.txt' AS path, coalesce(text, '') AS content FROM documents)")
+CUSTOM_SQL = f"WITH x AS ({CUSTOM_SQL}) SELECT repo_id, file, line, snippet FROM x"
+
+
+def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs with suspicious hosts in web pages."""
+    files = categorised(tree.from_pages(table(spark, sf_dir, "pages"))).withColumn("is_source", F.lit(True))
+    return detect.urls(files).select("repo_id", "file", "line", "snippet")
+
+
+def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of conversations: how many, how long, how many of them too long."""
+    rows = detect.lines(categorised(tree.from_conversations(table(spark, sf_dir, "conversations"))), comments=False)
+    return rows.groupBy("file_seq").agg(F.count("*").alias("n"), F.max(F.length("line")).cast("long").alias("longest"), F.count_if("too_long").alias("too_long"))
+
+
+TURNS_SQL = "WITH l AS (SELECT conv_id * 10000 + turn AS file_seq, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE text IS NOT NULL) SELECT file_seq, count(*) AS n, CAST(max(length(line)) AS BIGINT) AS longest, count(*) FILTER (length(line) > 2000) AS too_long FROM l GROUP BY file_seq"
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed_events(table(spark, sf_dir, "events"))
+
+
+EVENTS_SQL = "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"
+
+
+def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all repositories by all detectors."""
+    return scan(plain_files(spark, sf_dir)).reports
+
+
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scan(plain_files(spark, sf_dir), Config(detectors=("code", "secrets"), dependencies=False))
+    return report.json_reports(s.findings, s.reports)
+
+
+def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.sarif(scan(plain_files(spark, sf_dir), Config(detectors=("code", "urls"), dependencies=False)).findings)
+
+
+def grade_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.drivers(_unverified(detect.code(corpus(spark, sf_dir))).withColumn("verified", F.lit(True))).select("repo_id", "category", "critical", "high", "nth")
+
+
+DRIVERS_SQL = f"WITH x AS ({CODE_SQL}), y AS (SELECT repo_id, category, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high FROM x WHERE severity IN ('CRITICAL', 'HIGH') GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY critical + high DESC, category) AS INTEGER) AS nth FROM y"
+_ENV_SQL = f"WITH {FILES} SELECT repo_id, path AS file, 0 AS line, 'HIGH' AS severity, 'SECRET' AS category, 'Environment file found: ' || string_split(path, '/')[-1] || ' — may contain secrets' AS message, '' AS snippet FROM files WHERE name LIKE '.env%'"
+_BIN_SQL = f"WITH {FILES} SELECT repo_id, path AS file, 0 AS line, 'HIGH' AS severity, 'OBFUSCATION' AS category, 'Pre-compiled binary (' || ext || ') — cannot audit' AS message, '' AS snippet FROM files WHERE ext = '.exe'"
+_USER_SQL = f"WITH {FILES} SELECT repo_id, path AS file, 0 AS line, 'MEDIUM' AS severity, 'PERMISSION' AS category, 'Dockerfile has no USER directive — container runs as root by default' AS message, '' AS snippet FROM files WHERE name = 'dockerfile' AND NOT regexp_matches(content, '(?m)^\\s*USER\\s+')"
+_INJECTION = [r for r in rules.TEXT_INJECTION]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "code_findings": code_findings,
+    "rule_ids": rule_ids,
+    "multi_line_findings": _detector(detect.multi_line),
+    "environment_files": _detector(detect.environment),
+    "secret_findings": _detector(detect.secrets),
+    "suspicious_urls": _detector(detect.urls),
+    "skill_findings": _detector(detect.skills),
+    "tool_descriptions": _detector(detect.tool_text),
+    "tool_capabilities": _detector(detect.capabilities),
+    "capability_manifest": capability_manifest,
+    "ai_config_findings": _detector(detect.ai_config),
+    "prompt_strings": _detector(detect.prompts),
+    "text_injection": _detector(detect.text_injection),
+    "kubernetes_findings": _detector(detect.kubernetes),
+    "dockerfile_findings": _detector(detect.dockerfile),
+    "compose_findings": _detector(detect.compose),
+    "workflow_findings": _detector(detect.workflow),
+    "workflow_run_blocks": _detector(detect.run_blocks),
+    "workflow_patterns": _detector(detect.workflow_files),
+    "makefile_findings": _detector(detect.makefile),
+    "setup_findings": _detector(detect.setup),
+    "binary_files": _detector(detect.binaries),
+    "dockerfile_user": _detector(detect.no_user),
+    "evasion_findings": _detector(detect.evasion),
+    "variable_assembly": _detector(detect.assembly),
+    "aliased_imports": _detector(detect.aliases),
+    "signature_findings": _detector(detect.signatures),
+    "python_trees": _detector(python_code),
+    "server_configs": _detector(configs.mcp_config),
+    "dependency_findings": _detector(configs.dependencies),
+    "licence_findings": _detector(configs.licences),
+    "finding_repeats": repeats,
+    "repository_structure": structure,
+    "score_grades": scores,
+    "policy_gates": policies,
+    "baseline_filter": baseline,
+    "grade_drivers": grade_drivers,
+    "string_entropy": entropies,
+    "path_contexts": contexts,
+    "custom_rule": custom_rule,
+    "page_addresses": page_addresses,
+    "conversation_lines": turn_lines,
+    "event_windows": event_windows,
+    "full_scan": full_scan,
+    "json_report": json_report,
+    "sarif_report": sarif_report,
+}
+_PROMPT = ", ".join(f"('', {r.order}, {q(r.severity)}, {q(r.category)}, {q(r.message)}, {q(r.regex)})" for r in rules.PROMPT_STRINGS)
+ORACLES: dict[str, str] = {
+    "code_findings": f"WITH x AS ({CODE_SQL}) SELECT {', '.join(COLUMNS)} FROM x",
+    "rule_ids": RULE_IDS_SQL,
+    "environment_files": _ENV_SQL,
+    "secret_findings": SECRETS_SQL,
+    "suspicious_urls": URLS_SQL,
+    "skill_findings": content_sql("name = 'skill.md'", values(rules.TOOL_INJECTION)),
+    "capability_manifest": CAPABILITY_SQL,
+    "prompt_strings": line_sql(IS_SOURCE, values(rules.PROMPT_STRINGS), "true", f"length(line) > 2000 OR {_comment()}"),
+    "text_injection": content_sql(f"{IS_TEXT} AND NOT {IS_SOURCE}", values(_INJECTION)),
+    "kubernetes_findings": content_sql(f"ext IN ('.yml', '.yaml') AND regexp_matches(content, 'apiVersion:')", values(rules.KUBERNETES), "trim(hit)"),
+    "dockerfile_findings": line_sql("name = 'dockerfile'", values(rules.DOCKERFILE)),
+    "compose_findings": line_sql(IS_COMPOSE, values(rules.COMPOSE)),
+    "workflow_findings": line_sql(IS_CI, values(rules.WORKFLOW), "true", "s LIKE '#%'"),
+    "makefile_findings": line_sql("name = 'makefile'", values(rules.MAKEFILE), "true", "s LIKE '#%'"),
+    "binary_files": _BIN_SQL,
+    "dockerfile_user": _USER_SQL,
+    "finding_repeats": REPEATS_SQL,
+    "repository_structure": STRUCTURE_SQL,
+    "score_grades": _scores_sql(),
+    "policy_gates": POLICIES_SQL,
+    "baseline_filter": BASELINE_SQL,
+    "grade_drivers": DRIVERS_SQL,
+    "string_entropy": ENTROPIES_SQL,
+    "path_contexts": CONTEXTS_SQL,
+    "custom_rule": CUSTOM_SQL,
+    "conversation_lines": TURNS_SQL,
+    "event_windows": EVENTS_SQL,
+}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of repositories by the main detectors."""
+    return scan(plain_files(spark, sf_dir), Config(detectors=("code", "secrets", "urls", "evasion"), dependencies=False)).reports
