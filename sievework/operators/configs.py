@@ -11,7 +11,7 @@ from .detect import findings, rule_hits
 # Commands and names that matter in a server's configuration.
 COMMANDS = "rm curl wget bash sh powershell cmd".split()
 SECRET_NAMES = "key secret token password auth".split()
-SHORTEST_TEXT, LONGEST_DEPTH = 30, 12
+SHORTEST_TEXT, LONGEST_DEPTH = 30, 8
 
 
 def servers(files: DataFrame) -> DataFrame:

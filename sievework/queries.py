@@ -134,8 +134,13 @@ def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.code(corpus(spark, sf_dir)).select(*COLUMNS)
 
 
+def code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of the language rules, written once for the queries that go on from them."""
+    return stored(spark, f"code {sf_dir}", lambda: detect.code(corpus(spark, sf_dir)))
+
+
 def rule_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.code(corpus(spark, sf_dir)).groupBy("rule_id", "category", "severity").agg(F.count("*").alias("n"))
+    return code_table(spark, sf_dir).groupBy("rule_id", "category", "severity").agg(F.count("*").alias("n"))
 
 
 RULE_IDS_SQL = f"""WITH x AS ({CODE_SQL}), y AS (SELECT *, lower(trim(string_split(message, '—')[1])) AS head FROM x)
@@ -148,7 +153,7 @@ def _unverified(df: DataFrame) -> DataFrame:
 
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over findings: repeats, frequent messages, caps, and lines flagged twice."""
-    out = verify.among_others(_unverified(detect.code(corpus(spark, sf_dir))))
+    out = verify.among_others(_unverified(code_table(spark, sf_dir)))
     return out.groupBy("repo_id", "category", "severity", "original_severity", "suppression_source").agg(F.count("*").alias("n"))
 
 
@@ -200,7 +205,7 @@ SELECT source, {", ".join(SCORED)}, total_lines, score, {bands} AS grade FROM f"
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = score.policy_counts(_unverified(detect.code(corpus(spark, sf_dir))).withColumn("verified", F.lit(True)))
+    counts = score.policy_counts(_unverified(code_table(spark, sf_dir)).withColumn("verified", F.lit(True)))
     return counts.select("repo_id", score.policy("critical<=1, high<=20").alias("strict"), score.policy("critical<100,nonsense,low>=0").alias("lax"))
 
 
@@ -209,7 +214,7 @@ POLICIES_SQL = f"""WITH x AS ({CODE_SQL}) SELECT repo_id, count(*) FILTER (sever
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that a baseline of every other file's findings does not know."""
-    found = stored(spark, f"code {sf_dir}", lambda: detect.code(corpus(spark, sf_dir)))
+    found = code_table(spark, sf_dir)
     known = found.filter("file_seq % 2 = 0").withColumn("fingerprint", verify.fingerprint())
     return verify.beyond(found, known).groupBy("repo_id", "severity").agg(F.count("*").alias("n"))
 
@@ -293,7 +298,7 @@ def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grade_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.drivers(_unverified(detect.code(corpus(spark, sf_dir))).withColumn("verified", F.lit(True))).select("repo_id", "category", "critical", "high", "nth")
+    return score.drivers(_unverified(code_table(spark, sf_dir)).withColumn("verified", F.lit(True))).select("repo_id", "category", "critical", "high", "nth")
 
 
 DRIVERS_SQL = f"WITH x AS ({CODE_SQL}), y AS (SELECT repo_id, category, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high FROM x WHERE severity IN ('CRITICAL', 'HIGH') GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY critical + high DESC, category) AS INTEGER) AS nth FROM y"
