@@ -38,7 +38,7 @@ def _ipc(table: pa.Table) -> bytes:
     return zstandard.ZstdCompressor(1).compress(sink.getvalue().to_pybytes())
 
 
-def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", label: str = "blocks", mark: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
+def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", label: str = "blocks", mark: Callable[[np.ndarray, np.ndarray], bytes] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of documents, each in order of doc_id (null first). Null texts are empty.
 
     mark(bytes, row offsets) may find what all later passes need; it is kept with the block."""
@@ -58,8 +58,8 @@ def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     def run(batches):
         parts, size, number = [], 0, 0
         for b in batches:
-            for part, data, _ in pieces(b, "__text", BLOCK_BYTES):
-                if parts and size + len(data) > BLOCK_BYTES:
+            for part, data, _ in pieces(b, "__text", block_bytes):
+                if parts and size + len(data) > block_bytes:
                     yield emit(parts, number)
                     parts, size, number = [], 0, number + 1
                     trim()

@@ -35,6 +35,8 @@ from .substring_dedup import later_entries, unique
 WINDOW, GRAM, FIRST_DEPTH = 100, 32, 8
 #: Contexts of a minimizer from which on its windows are exchanged one by one.
 HOT = 4096
+#: Larger blocks than others': each message repeats the block's doc_ids, and entries are few for their text.
+SUFFIX_BLOCK_BYTES = 2 << 20
 #: Bytes of spans in a refinement task.
 REFINED_BYTES = 1 << 20
 ENTRY = np.dtype([("doc", "<i4"), ("context", "<u8")])
@@ -199,7 +201,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     """The columns `keep`, n_bytes, n_removed, spans (removed runs of bytes) and kept (the other bytes)."""
     if not 16 <= gram < window <= gram + 200:
         raise ValueError("a window is longer than a gram, by 200 bytes at most")
-    blocks = pack(docs, keep, text, mark=lambda data, at: find_entries(data, at, window, gram))
+    blocks = pack(docs, keep, text, mark=lambda data, at: find_entries(data, at, window, gram), block_bytes=SUFFIX_BLOCK_BYTES)
     entry_buckets, hot_buckets = n_buckets(blocks, 0.7), n_buckets(blocks, 0.7)
     span_buckets = n_buckets(blocks, 0.25 * (12 << 20) / REFINED_BYTES)
 
