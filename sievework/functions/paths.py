@@ -24,6 +24,7 @@ INFRA_DIRS = ".devcontainer .github .circleci .gitlab".split()
 REFERENCE_DIRS = "references reference".split()
 RULE_DIRS = "rules detectors signatures patterns checks yara sigma indicators ruleset rulesets".split()
 MAX_BYTES = 500_000
+FILE_COLUMNS = ("repo_id", "file_seq", "path", "content", "size", "link_target")
 
 
 def name(path: Column) -> Column:
@@ -51,7 +52,9 @@ def _starts(c: Column, prefixes) -> Column:
 def categorised(files: DataFrame) -> DataFrame:
     """Files with name, ext and the category flags; skipped directories are left out at any depth.
 
-    Files over the size limit keep their row and lose their content for text detectors."""
+    Files over the size limit keep their row and lose their content for text detectors. Columns that files do not
+    have by their schema are left out, so that their names meet no detector's."""
+    files = files.select(*[c for c in FILE_COLUMNS if c in files.columns])
     path, low = F.col("path"), F.lower(F.col("path"))
     files = files.filter(~_within(path, SKIPPED_DIRS)).withColumns({"name": F.lower(name(path)), "ext": extension(path)})
     n, e = F.col("name"), F.col("ext")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import paths, rules, text
 from .functions.paths import categorised
 from .functions.rules import Rule
-from .operators import configs, detect, report, score, verify
+from .operators import configs, describe, detect, report, score, verify
 from .operators.python_code import python_code
 from .plans.scan import Config, scan
 from .sources import tree
@@ -283,6 +283,18 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTS_SQL = "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"
 
 
+def tool_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus(spark, sf_dir)
+    return describe.tool_types(files, score.structure(files))
+
+
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.coverage_gaps(corpus(spark, sf_dir))
+
+
+GAPS_SQL = f"WITH {FILES}, g AS (SELECT repo_id, path, len(list_filter(string_split(content, chr(10)), lambda x: length(x) > 2000)) AS n FROM files WHERE {IS_SOURCE}) SELECT repo_id, path, n || '_lines_exceed_2000_chars' AS reason, CAST(n AS BIGINT) AS n FROM g WHERE n > 0"
+
+
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all repositories by all detectors."""
     return scan(plain_files(spark, sf_dir)).reports
@@ -351,6 +363,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_addresses": page_addresses,
     "conversation_lines": turn_lines,
     "event_windows": event_windows,
+    "tool_types": tool_types,
+    "coverage_gaps": coverage_gaps,
     "full_scan": full_scan,
     "json_report": json_report,
     "sarif_report": sarif_report,
@@ -384,6 +398,7 @@ ORACLES: dict[str, str] = {
     "custom_rule": CUSTOM_SQL,
     "conversation_lines": TURNS_SQL,
     "event_windows": EVENTS_SQL,
+    "coverage_gaps": GAPS_SQL,
 }
 
 

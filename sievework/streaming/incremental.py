@@ -21,12 +21,11 @@ def stream_findings(files: DataFrame, event_time: str = "at", delay: str = "1 ho
 
     from ..operators import detect
 
-    kept = categorised(files.withWatermark(event_time, delay))
-    # Findings carry no time; the file's comes along through its number in the batch.
-    timed = kept.withColumn("repo_id", F.struct("repo_id", F.col(event_time).alias("at")))
+    # Findings carry no time, so each file's travels with its repository.
+    timed = categorised(files.withColumn("repo_id", F.struct("repo_id", F.col(event_time).alias("at"))))
     found = reduce(DataFrame.unionByName, [detect.ALL[d](timed) for d in detectors])
-    found = found.withColumns({"at": F.col("repo_id.at"), "repo_id": F.col("repo_id.repo_id")}).withColumn("fingerprint", F.concat_ws(":", "repo_id", verify.fingerprint()))
-    return found.dropDuplicatesWithinWatermark(["fingerprint"])
+    found = found.withColumns({"at": F.col("repo_id.at"), "repo_id": F.col("repo_id.repo_id")}).withWatermark("at", delay)
+    return found.withColumn("fingerprint", F.concat_ws(":", "repo_id", verify.fingerprint())).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
 def scan_batches(files: DataFrame, sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, config: Config = Config()) -> StreamingQuery:
