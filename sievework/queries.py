@@ -223,7 +223,11 @@ BASELINE_SQL = f"""WITH x AS ({CODE_SQL}), y AS (SELECT *, file || ':' || severi
 
 
 def entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.entropy(F.substring("text", 1, 60)), 6).alias("entropy"))
+    """Entropy of each whole text; characters are counted as rows, as a text can be too long for text.entropy to pass over for each of its characters."""
+    chars = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.split("text", "")).alias("c"))
+    counts = chars.groupBy("doc_id", "c").agg(F.count_if(F.col("c") != "").alias("n"))
+    sums = counts.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n"))).alias("s"))
+    return sums.select("doc_id", F.when(F.col("t") > 0, F.round(F.greatest(F.lit(0.0), F.log2("t") - F.col("s") / F.col("t")), 6)).otherwise(0.0).alias("entropy"))
 
 
 ENTROPIES_SQL = """WITH c AS (SELECT doc_id, unnest(string_split(left(text, 60), '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS t FROM n GROUP BY doc_id),

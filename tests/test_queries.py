@@ -1,5 +1,8 @@
 """Queries against the SQL of another engine, on the small tables."""
 
+import math
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -38,3 +41,13 @@ def test_entry(spark, sf):
     out = entry.entry(spark)
     assert out.count() == 20
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entropy_of_whole_texts(spark, tmp_path):
+    texts = ["a" * 60 + "bcdefghijklmnop" * 9, "a" * 60, "ab" * 5000 + "é𝒳\n", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def entropy(t):
+        return round(-sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) + 0.0, 6)
+
+    assert {r.doc_id: r.entropy for r in queries.entropies(spark, str(tmp_path)).collect()} == {k: entropy(t or "") for k, t in enumerate(texts)}
