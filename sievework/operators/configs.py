@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import rules, text
 from .detect import findings, rule_hits
@@ -11,7 +14,7 @@ from .detect import findings, rule_hits
 # Commands and names that matter in a server's configuration.
 COMMANDS = "rm curl wget bash sh powershell cmd".split()
 SECRET_NAMES = "key secret token password auth".split()
-SHORTEST_TEXT, LONGEST_DEPTH = 30, 8
+SHORTEST_TEXT = 30
 
 
 def servers(files: DataFrame) -> DataFrame:
@@ -38,20 +41,28 @@ def mcp_config(files: DataFrame) -> DataFrame:
     return commands.unionByName(secrets).unionByName(poisoning(rows))
 
 
+@F.udf(ArrayType(StructType().add("at", "string").add("text", "string")), useArrow=False)
+def _texts(config: str, server: str) -> list[tuple[str, str]]:
+    """All texts of a configuration that are long enough, at any depth, each with its path."""
+    out, left = [], [(server, json.loads(config))]
+    while left:
+        at, v = left.pop()
+        if isinstance(v, str):
+            if len(v) > SHORTEST_TEXT:
+                out.append((at, v))
+        elif isinstance(v, dict):
+            left.extend((f"{at}.{k}", w) for k, w in v.items())
+        elif isinstance(v, list):
+            left.extend((f"{at}[{k}]", w) for k, w in enumerate(v))
+    return out
+
+
 def poisoning(rows: DataFrame) -> DataFrame:
     """Instructions in the texts of a server: reported if it has two, or one in a description.
 
-    The configuration is opened level by level, as deep as it goes and LONGEST_DEPTH at most."""
-    base = rows.select("repo_id", "file_seq", "path", "content", "n", "server", F.col("server").alias("at"), F.col("config").alias("v"))
-    leaves, level = None, base
-    for _ in range(LONGEST_DEPTH):
-        kind = F.expr("schema_of_variant(v)")
-        own = level.filter(kind == "STRING").withColumn("text", F.expr("try_variant_get(v, '$', 'string')")).drop("v")
-        leaves = own if leaves is None else leaves.unionByName(own)
-        inner = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        opened = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("pos").alias("p"), F.col("key").alias("k"), F.col("value").alias("w")))
-        level = opened.select("repo_id", "file_seq", "path", "content", "n", "server", F.concat("at", F.when(F.col("k").isNotNull(), F.concat(F.lit("."), F.col("k"))).otherwise(F.concat(F.lit("["), F.col("p"), F.lit("]")))).alias("at"), F.col("w").alias("v"))
-    leaves = leaves.filter(F.length("text") > SHORTEST_TEXT).withColumn("hit", F.explode(rule_hits(F.col("text"), rules.INSTRUCTIONS)))
+    One pass over each configuration outside the JVM, where a walk to any depth is a loop."""
+    leaves = rows.select("repo_id", "file_seq", "path", "content", "n", "server", F.explode(_texts(F.to_json("config"), "server")).alias("leaf")).select("*", "leaf.*").drop("leaf")
+    leaves = leaves.withColumn("hit", F.explode(rule_hits(F.col("text"), rules.INSTRUCTIONS)))
     from pyspark.sql import Window
 
     server = Window.partitionBy("repo_id", "file_seq", "n")
