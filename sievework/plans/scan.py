@@ -21,7 +21,7 @@ class Config:
     """Options of a scan; a target's own wishes come in through `suppressions`, within the limits that verification sets."""
 
     exclude: tuple[str, ...] = ()
-    max_files: int = 50_000
+    max_files: int | None = None
     trusted: bool = True
     verbose: bool = False
     taint: bool = True
@@ -36,26 +36,49 @@ class Config:
 
 @dataclass(frozen=True)
 class Scan:
-    """Lazy results: files with their categories, all findings, and a report for each repository."""
+    """Lazy results: files with their categories, all findings, a report for each repository, and what was not looked at."""
 
     files: DataFrame
     findings: DataFrame
     reports: DataFrame
+    gaps: DataFrame
 
 
-def selected(files: DataFrame, config: Config, changed: DataFrame | None = None) -> DataFrame:
-    """The files to look at: not excluded, among the changed paths if those are given, and fewer than the limit."""
+def wanted(files: DataFrame, config: Config, changed: DataFrame | None = None) -> DataFrame:
+    """The files that are not excluded, and among the changed paths if those are given."""
     path = F.col("path")
     for g in config.exclude:
         files = files.filter(~path.rlike(text.glob_regex(g)))
     if changed is not None:
         files = files.join(changed.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+    return files
+
+
+def over_limit(files: DataFrame, limit: int) -> DataFrame:
+    """repo_id and file_seq of the files from the limit on."""
     from pyspark.sql import Window
 
     # Repositories beyond the limit are rare; only those are numbered.
-    many = files.groupBy(F.col("repo_id").alias("__r")).agg(F.count("*").alias("__n")).filter(F.col("__n") >= config.max_files).select("__r")
-    over = files.join(many, F.col("repo_id") == F.col("__r"), "left_semi").select("repo_id", "file_seq", F.row_number().over(Window.partitionBy("repo_id").orderBy("file_seq")).alias("nth")).filter(F.col("nth") >= config.max_files)
-    return files.join(over.select("repo_id", "file_seq"), ["repo_id", "file_seq"], "left_anti")
+    many = files.groupBy(F.col("repo_id").alias("__r")).agg(F.count("*").alias("__n")).filter(F.col("__n") >= limit).select("__r")
+    numbered = files.join(many, F.col("repo_id") == F.col("__r"), "left_semi").select("repo_id", "file_seq", F.row_number().over(Window.partitionBy("repo_id").orderBy("file_seq")).alias("nth"))
+    return numbered.filter(F.col("nth") >= limit).select("repo_id", "file_seq")
+
+
+def selected(files: DataFrame, config: Config, changed: DataFrame | None = None) -> DataFrame:
+    """The files to look at: the wanted ones, and fewer than the limit if there is one."""
+    files = wanted(files, config, changed)
+    if config.max_files is None:
+        return files
+    return files.join(over_limit(files, config.max_files), ["repo_id", "file_seq"], "left_anti")
+
+
+def gaps(files: DataFrame, kept: DataFrame, config: Config, changed: DataFrame | None = None) -> DataFrame:
+    """What the scan did not look at in the kept files, and how many files the limit left out."""
+    out = score.coverage_gaps(kept)
+    if config.max_files is None:
+        return out
+    left = over_limit(wanted(files, config, changed), config.max_files).groupBy("repo_id").agg(F.count("*").alias("n"))
+    return out.unionByName(left.select("repo_id", F.lit("").alias("path"), F.lit("file_limit_reached").alias("reason"), "n"))
 
 
 def raw_findings(files: DataFrame, config: Config = Config(), commits: DataFrame | None = None, advisories: DataFrame | None = None) -> DataFrame:
@@ -88,4 +111,4 @@ def scan(files: DataFrame, config: Config = Config(), changed: DataFrame | None
     if baseline is not None:
         findings = verify.beyond(findings, baseline)
     totals = score.structure(kept)
-    return Scan(kept, findings, score.reports(findings, totals, config.weights))
+    return Scan(kept, findings, score.reports(findings, totals, config.weights), gaps(files, kept, config, changed))

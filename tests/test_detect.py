@@ -7,7 +7,7 @@ import pytest
 from sievework.functions.paths import categorised
 from sievework.operators import configs, detect
 from sievework.operators.python_code import analysed
-from sievework.plans.scan import Config, scan
+from sievework.plans.scan import Config, gaps, scan, selected
 
 SECRET = "AK" + "IA" + "QWERTYUIOPASDFGH"
 
@@ -124,3 +124,12 @@ def test_scan_of_clean_and_bad_repositories(spark):
     assert got["r"].grade == "A" and got["bad"].grade in "DF" and got["bad"].critical >= 1
     assert s.findings.filter("file LIKE 'generated%'").count() == 0
     s.files.unpersist()
+
+
+def test_file_limit_is_off_and_told(spark):
+    many = spark.range(50_001).selectExpr("'r' AS repo_id", "id AS file_seq", "concat('f', id, '.txt') AS path", "'' AS content", "0L AS size")
+    assert selected(many, Config()).count() == 50_001
+    few, config = files(spark, {f"f{k}.txt": "x" for k in range(10)}), Config(max_files=4, exclude=("f9*",))
+    kept = categorised(selected(few, config))
+    assert kept.count() == 3 and [tuple(r) for r in gaps(few, kept, config).collect()] == [("r", "", "file_limit_reached", 6)]
+    assert gaps(few, categorised(few), Config()).count() == 0
