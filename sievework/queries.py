@@ -15,7 +15,7 @@ from .functions.paths import categorised
 from .functions.rules import Rule
 from .operators import configs, describe, detect, report, score, verify
 from .operators.python_code import python_code
-from .plans.scan import Config, scan
+from .plans.scan import scan
 from .sources import tree
 from .sources.planted import FILES_SQL, planted
 from .sources.stored import stored
@@ -299,18 +299,31 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 GAPS_SQL = f"WITH {FILES}, g AS (SELECT repo_id, path, len(list_filter(string_split(content, chr(10)), lambda x: length(x) > 2000)) AS n FROM files WHERE {IS_SOURCE}) SELECT repo_id, path, n || '_lines_exceed_2000_chars' AS reason, CAST(n AS BIGINT) AS n FROM g WHERE n > 0"
 
 
+def full_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of all detectors, written once for the full scan and the reports."""
+    scans = []
+
+    def make() -> DataFrame:
+        scans.append(scan(plain_files(spark, sf_dir)))
+        return scans[0].findings
+
+    out = stored(spark, f"findings {sf_dir}", make)
+    for s in scans:
+        s.files.unpersist()
+    return out
+
+
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all repositories by all detectors."""
-    return scan(plain_files(spark, sf_dir)).reports
+    return score.reports(full_findings(spark, sf_dir), score.structure(corpus(spark, sf_dir)))
 
 
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scan(plain_files(spark, sf_dir), Config(detectors=("code", "secrets"), dependencies=False))
-    return report.json_reports(s.findings, s.reports)
+    return report.json_reports(full_findings(spark, sf_dir), full_scan(spark, sf_dir))
 
 
 def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.sarif(scan(plain_files(spark, sf_dir), Config(detectors=("code", "urls"), dependencies=False)).findings)
+    return report.sarif(full_findings(spark, sf_dir))
 
 
 def grade_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,5 +420,5 @@ ORACLES: dict[str, str] = {
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades of repositories by the main detectors."""
-    return scan(plain_files(spark, sf_dir), Config(detectors=("code", "secrets", "urls", "evasion"), dependencies=False)).reports
+    """Grades of repositories by all detectors."""
+    return full_scan(spark, sf_dir)

@@ -1,5 +1,6 @@
 """Queries against the SQL of another engine, on the small tables."""
 
+import json
 import math
 from collections import Counter
 
@@ -51,3 +52,12 @@ def test_entropy_of_whole_texts(spark, tmp_path):
         return round(-sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) + 0.0, 6)
 
     assert {r.doc_id: r.entropy for r in queries.entropies(spark, str(tmp_path)).collect()} == {k: entropy(t or "") for k, t in enumerate(texts)}
+
+
+def test_reports_hold_the_full_scan(spark, sf):
+    whole = {r.repo_id: r for r in queries.full_scan(spark, sf).collect()}
+    for r in queries.json_report(spark, sf).collect():
+        body, want = json.loads(r.report), whole[r.repo_id]
+        assert (body["score"], body["grade"], body["verified_count"], len(body["findings"])) == (want.score, want.grade, want.verified_count, want.verified_count)
+    told = {r.repo_id: len(json.loads(r.sarif)["runs"][0]["results"]) for r in queries.sarif_report(spark, sf).collect()}
+    assert told == {k: r.verified_count for k, r in whole.items() if r.verified_count}
