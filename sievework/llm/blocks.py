@@ -18,16 +18,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialize, pieces, small_arrow_batches, trim, utf8
+from .common import bounded_batches, buckets_for, materialize, pieces, trim, utf8
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
-#: What goes with a hash at least: its first document in the block.
-DOC = np.dtype([("doc", "<i4")])
+#: What goes with a hash: the doc_id of its first document in the block, and a second hash of the same bytes.
+DOC = np.dtype([("doc", "<i8"), ("check", "<u8")])
+#: Bytes of texts, or of messages, in a task.
+TASK_BYTES = 24 << 20
 NULL_ID = np.iinfo(np.int64).min
 
 BLOCK_SCHEMA = "block_id long, n_bytes long, rest binary, sizes binary, data binary, marks binary"
-MESSAGE_SCHEMA = "bucket int, block_id long, hashes binary, extra binary, ids binary"
+MESSAGE_SCHEMA = "bucket int, block_id long, hashes binary, extra binary"
 ANSWER_SCHEMA = "block_id long, bucket int, answer binary"
 
 
@@ -42,7 +44,7 @@ def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     """Blocks of documents, each in order of doc_id (null first). Null texts are empty.
 
     mark(bytes, row offsets) may find what all later passes need; it is kept with the block."""
-    small_arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     names = list(keep)
     rows = docs.select(*names, F.col(text).alias("__text"))
 
@@ -90,10 +92,13 @@ class Block:
         return pa.Table.from_arrays([(a if isinstance(a, pa.Array) else pa.array(a, f.type)).cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
 
 
-def n_buckets(blocks: DataFrame, bytes_sent: float) -> int:
-    """Buckets for messages of `bytes_sent` bytes for each byte of text."""
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return buckets_for(int(total * bytes_sent))
+def text_bytes(blocks: DataFrame) -> int:
+    return blocks.agg(F.sum("n_bytes")).first()[0] or 0
+
+
+def n_tasks(n_bytes: float) -> int:
+    """Tasks for so many bytes, so that none grows with the table."""
+    return max(8, -(-int(n_bytes) // TASK_BYTES))
 
 
 def slices(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -102,24 +107,22 @@ def slices(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([np.searchsorted(hashes, edges), [len(hashes)]])
 
 
-def messages(block_id: int, n: int, hashes: np.ndarray, extra: np.ndarray | None = None, ids: np.ndarray | None = None) -> pa.RecordBatch:
-    """A block's sorted hashes as one message to each bucket that gets any; extra goes with the hashes, ids with each message."""
+def messages(block_id: int, n: int, hashes: np.ndarray, extra: np.ndarray | None = None) -> pa.RecordBatch:
+    """A block's sorted hashes as one message to each bucket that gets any; extra goes with the hashes."""
     at = slices(hashes, n)
     full = [k for k in range(n) if at[k] < at[k + 1]]
-    fixed = ids.tobytes() if ids is not None else b""
     return pa.RecordBatch.from_pydict(
         {
             "bucket": pa.array(full, pa.int32()),
             "block_id": pa.array([block_id] * len(full), pa.int64()),
             "hashes": pa.array([hashes[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()),
             "extra": pa.array([extra[at[k] : at[k + 1]].tobytes() if extra is not None else b"" for k in full], pa.binary()),
-            "ids": pa.array([fixed] * len(full), pa.binary()),
         }
     )
 
 
 def per_block(blocks: DataFrame, f: Callable[[Block], pa.RecordBatch], schema) -> DataFrame:
-    small_arrow_batches(blocks.sparkSession, 1)
+    bounded_batches(blocks.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -130,18 +133,15 @@ def per_block(blocks: DataFrame, f: Callable[[Block], pa.RecordBatch], schema) -
     return blocks.mapInArrow(run, schema)
 
 
-def answered(sent: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], label: str, extra_type=DOC) -> DataFrame:
-    """Each bucket's answers: f(hashes, extra, doc_id, block number) gives one byte for each entry of the bucket.
-
-    extra has the field doc, a row of the block, where a message has ids."""
+def answered(sent: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], label: str, buckets: int, extra_type=DOC) -> DataFrame:
+    """Each bucket's answers: f(hashes, extra, block number) gives one byte for each entry of the bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block_id"])
         parts = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
         sizes = np.array([len(p) for p in parts])
-        extra = [np.frombuffer(r["extra"], extra_type) for r in rows]
-        ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[x["doc"]] for r, x in zip(rows, extra, strict=True)]) if rows[0]["ids"] else np.zeros(0, np.int64)
-        out = f(np.concatenate(parts), np.concatenate(extra), ids, np.repeat(np.arange(len(rows)), sizes)).astype(np.uint8)
+        extra = np.concatenate([np.frombuffer(r["extra"], extra_type) for r in rows])
+        out = f(np.concatenate(parts), extra, np.repeat(np.arange(len(rows)), sizes)).astype(np.uint8)
         ends = np.cumsum(sizes)
         trim()
         return pa.table({"block_id": pa.array([r["block_id"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "answer": pa.array([zstandard.ZstdCompressor(1).compress(out[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
@@ -149,7 +149,7 @@ def answered(sent: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, n
     return materialize(sent.groupBy("bucket").applyInArrow(run, ANSWER_SCHEMA), label)
 
 
-def with_answers(blocks: DataFrame, answers: list[DataFrame], f: Callable[..., pa.RecordBatch | pa.Table], schema) -> DataFrame:
+def with_answers(blocks: DataFrame, answers: list[DataFrame], f: Callable[..., pa.RecordBatch | pa.Table], schema, tasks: int) -> DataFrame:
     """f(block, answer of the first exchange, of the second, ...) for every block, answers in the order sent."""
     everything = None
     for k, a in enumerate(answers):
@@ -166,4 +166,5 @@ def with_answers(blocks: DataFrame, answers: list[DataFrame], f: Callable[..., p
         trim()
         return out if isinstance(out, pa.Table) else pa.Table.from_batches([out])
 
-    return blocks.groupBy("block_id").cogroup(everything.groupBy("block_id")).applyInArrow(run, schema)
+    own, theirs = (x.groupBy("block_id") for x in (blocks, everything))
+    return own.cogroup(theirs).applyInArrow(run, schema)

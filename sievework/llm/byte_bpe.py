@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches, trim
+from .common import bounded_batches, trim
 
 #: Characters of a text that go to the library at once.
 PIECE_CHARS = 50_000
@@ -74,7 +74,7 @@ def tokenizer(rank_path: str, pattern: str) -> ByteBPE:
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns `keep`, and ids: little-endian unsigned 32-bit integers, binary."""
-    small_arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col(text).alias("__text"))
     schema = kept.select(*keep, F.lit(b"").alias("ids")).schema
 
@@ -106,7 +106,7 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str, keep: tuple[str, ..
 
 def digests(docs: DataFrame, rank_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns `keep`, n_tokens, ids_sha256 and decoded_sha256: `encode` and `decode` in one pass, without the ids."""
-    small_arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col(text).alias("__text"))
     schema = kept.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import re
+import secrets
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +28,22 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch: a batch of long texts must fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of an Arrow batch, alike for all operators: a batch of long texts must fit a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/sievework"
+    """The folder that driver and executors share: spark.checkpoint.dir. Where all run in one process, as in tests, one of our own serves."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return path or f"{tempfile.gettempdir()}/sievework"
+
+
+#: Paths written and not yet deleted, with those of each open `scratch` in a list of its own.
+_written: list[list[str]] = [[]]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -38,9 +51,42 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what materialize() wrote; results that still read it can no longer be computed."""
+    for paths in _written:
+        delete(spark, paths)
+        paths.clear()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete what is materialized inside once the block ends, but for the tables given to the function that it yields."""
+    _written.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.extend(p for p in _written[-1] if any(p.split("/")[-1] in f for f in df.inputFiles()))
+        return df
+
+    try:
+        yield keep
+    finally:
+        mine = _written.pop()
+        delete(spark, [p for p in mine if p not in kept])
+        _written[-1].extend(kept)
+
+
 def trim() -> None:
     """Give memory that is no longer used back to the system: Python workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()
@@ -129,31 +175,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: A span of this many bytes is held whole in its two numbers.
+_HELD = 15
+
 
+def span_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each byte span, which different spans do not share: the bytes themselves and their
+    number, up to 15 bytes; beyond that, 120 bits of a BLAKE2 digest under a mark of its own."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    words = np.ndarray(len(data) + 9, "<u8", padded, 0, (1,))
+    low = words[starts] & _MASK[np.minimum(size, 8)]
+    high = words[starts + 8 * (size > 8)] & _MASK[np.clip(size - 8, 0, 7)] | np.minimum(size, _HELD).astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > _HELD)
+    if len(long):
+        view = memoryview(padded)
+        digests = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+        pairs = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        low[long], high[long] = pairs[:, 0], pairs[:, 1] | np.uint64(0xFF << 56)
+    return low, high
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    table = _powers.get(int(base))
-    if table is None or len(table) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        table = _powers[int(base)] = np.multiply.accumulate(steps)
-    return table[:n]
 
+def fresh_key() -> tuple[int, ...]:
+    """Odd numbers that no text can know: drawn by the driver for each run, alike in all of its tasks."""
+    return tuple(secrets.randbits(64) | 1 for _ in range(4))
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from prefix sums of a polynomial modulo 2^64."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each byte span: a keyed permutation of its two numbers, so that both are equal for equal spans only."""
+    k = [np.uint64(x) for x in key]
+    left, right = span_numbers(data, starts, ends)
+    left = left ^ mix(right * k[0] + k[1])
+    right = right ^ mix(left * k[2] + k[3])
+    return left ^ mix(right * k[1] + k[2]), right
 
-def join_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+
+def join_hashes(left: np.ndarray, right: np.ndarray, lane: int = 0) -> np.ndarray:
     """Hash of a sequence from those of its two halves."""
-    return mix(left * _BASE + (right ^ _ODD))
+    return mix(left * _LANES[lane] + (right ^ _ODD))
+
+
+_LANES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def buckets_for(n_bytes: int, each: int = 12 << 20) -> int:

@@ -13,11 +13,13 @@
 Links are counted with the copies of both sides, and connected into classes. Defined results: words are runs
 of characters that are not white space; a text of one to four words is one shingle; null and empty texts have
 none, link to nothing and are classes of their own; repeated rows are copies; null doc_id comes first; an empty
-table gives an empty table. Shingles are compared by 64-bit hashes, and equal sets by 64-bit sums of those.
+table gives an empty table. Words are told apart by their bytes (longer ones by BLAKE2); the shingles of two
+documents are compared by 64 bits from them under a key that is drawn for each run, and sets of one class by 128.
 """
 
 from __future__ import annotations
 
+import hashlib
 from math import comb
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, join_hashes, materialize, mix, pieces, ragged, small_arrow_batches, span_hashes, trim, utf8, word_spans
+from .common import _ODD, bounded_batches, fresh_key, join_hashes, materialize, mix, pieces, ragged, span_hashes, trim, utf8, word_spans
 from .components import connected_components
 from .substring_dedup import sequence_hashes
 
@@ -48,10 +50,10 @@ def least_agreements(compared: int, threshold: float, tolerance: float = TOLERAN
     return compared
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, at: np.ndarray, key: tuple[int, ...], length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, joined, and the n+1 offsets."""
     starts, ends, words = word_spans(data, at)
-    hashes = span_hashes(data, starts, ends)
+    hashes, _ = span_hashes(data, starts, ends, key)
     runs = sequence_hashes(hashes, length)
     out = []
     for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True):
@@ -85,33 +87,35 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_ids(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """An id for each row's set."""
-    return mix(np.add.reduceat(mix(hashes ^ _ODD), at[:-1]) + np.diff(at).astype(np.uint64) * _ODD)
+def set_ids(hashes: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """An id for each row's set: 128 bits over its sorted hashes."""
+    whole = memoryview(np.ascontiguousarray(hashes)).cast("B")
+    return [hashlib.blake2b(whole[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def describe(docs: DataFrame, text: str = "text") -> DataFrame:
+def describe(docs: DataFrame, key: tuple[int, ...], text: str = "text") -> DataFrame:
     """doc_id, text_hash, n (shingles), set_id and bands; the last two null where there are no shingles."""
-    small_arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("__text"))
 
     def run(batches):
         for b in batches:
             for part, data, at in pieces(b, "__text"):
-                hashes, ends = shingle_sets(data, at)
+                hashes, ends = shingle_sets(data, at, key)
                 n = np.diff(ends)
                 full = np.flatnonzero(n)
-                ids, bands = np.zeros(len(n), np.uint64), np.zeros((len(n), BANDS), np.uint64)
+                ids, bands = [None] * len(n), np.zeros((len(n), BANDS), np.uint64)
                 if len(full):
                     own = np.concatenate([ends[:-1][full], ends[-1:]])
-                    ids[full], bands[full] = set_ids(hashes, own), band_hashes(signatures(hashes, own))
-                none = n == 0
+                    bands[full] = band_hashes(signatures(hashes, own))
+                    for k, one in zip(full.tolist(), set_ids(hashes, own), strict=True):
+                        ids[k] = one
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids.view(np.int64), mask=none), lists], names=["doc_id", "text_hash", "n", "set_id", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists], names=["doc_id", "text_hash", "n", "set_id", "bands"])
             trim()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, set_id long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, set_id binary, bands array<long>")
 
 
 def _agreeing(signature: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -176,15 +180,15 @@ def verified(hashes: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return out
 
 
-def _join_unit(table: pa.Table) -> pa.Table:
+def _join_unit(table: pa.Table, key: tuple[int, ...]) -> pa.Table:
     """Links of one unit: for each document the weight of its partners and the root of its part."""
     text = table.column("__text").combine_chunks()
     data, at = utf8(text)
-    ids = table.column("set_id").to_numpy()
+    ids = table.column("set_id").to_pylist()
     weight = table.column("copies").to_numpy()
     block = table.column("block").to_numpy()
     first, second = table.column("first_block")[0].as_py(), table.column("second_block")[0].as_py()
-    hashes, ends = shingle_sets(data, at)
+    hashes, ends = shingle_sets(data, at, key)
     signature = signatures(hashes, ends)
     links, root = np.zeros(len(ids), np.int64), list(range(len(ids)))
 
@@ -208,8 +212,8 @@ def _join_unit(table: pa.Table) -> pa.Table:
                 root[max(a, b)] = min(a, b)
     if len(hashes) > 100_000:
         trim()
-    order = np.array([ids[find(k)] for k in range(len(ids))], np.int64)
-    return pa.table({"set_id": pa.array(ids, pa.int64()), "links": pa.array(links), "root": pa.array(order)})
+    roots = [ids[find(k)] for k in range(len(ids))]
+    return pa.table({"set_id": pa.array(ids, pa.binary()), "links": pa.array(links), "root": pa.array(roots, pa.binary())})
 
 
 def join(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -217,15 +221,18 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
 
     class_id is the smallest doc_id of the documents that links connect; n_links counts the other documents
     whose similarity is at least 4/5, copies of the document among them; n_copies those with its shingle set."""
-    small_arrow_batches(docs.sparkSession)
-    rows = materialize(describe(docs, text), "shingles")
-    sets = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    sets = materialize(sets, "sets")
-    bands = rows.filter(F.col("set_id").isNotNull()).select("set_id", F.explode("bands").alias("band")).distinct()
-    least = bands.groupBy("band").agg(F.min("set_id").alias("v"), F.max("set_id").alias("w")).filter("v <> w").select(F.col("band").alias("__band"), "v")
-    edges = bands.join(least, F.col("band") == F.col("__band")).select(F.col("set_id").alias("u"), "v").filter("u <> v").distinct()
-    near = connected_components(edges, "neighbourhoods").select(F.col("node").alias("set_id"), F.col("root").alias("part"))
-    near = materialize(near.join(sets, "set_id"), "near")
+    bounded_batches(docs.sparkSession)
+    key = fresh_key()
+    rows = materialize(describe(docs, key, text), "shingles")
+    sets = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), F.count("*").alias("copies"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
+    # 64 bits of the id are enough to name neighbourhoods: two sets that share them only share one.
+    sets = materialize(sets.withColumn("short", F.xxhash64("set_id")), "sets")
+    bands = sets.select("short", F.explode("bands").alias("band"))
+    sets = sets.drop("bands")
+    least = bands.groupBy("band").agg(F.min("short").alias("v"), F.max("short").alias("w")).filter("v <> w").select(F.col("band").alias("__band"), "v")
+    edges = bands.join(least, F.col("band") == F.col("__band")).select(F.col("short").alias("u"), "v").filter("u <> v").distinct()
+    near = connected_components(edges, "neighbourhoods").select(F.col("node").alias("short"), F.col("root").alias("part"))
+    near = materialize(near.join(sets, "short"), "near")
     amount = near.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / UNIT_DOCS), F.ceil(F.sum("n") / UNIT_SHINGLES)).cast("int").alias("blocks")).withColumnRenamed("part", "__part")
     units = near.join(amount, F.col("part") == F.col("__part")).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -238,7 +245,7 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = texts.join(wanted, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi").dropDuplicates(["__doc", "__text_hash"])
     work = units.join(texts, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")))
     work = work.select("part", "first_block", "second_block", "block", "set_id", "copies", "__text")
-    found = work.groupBy("part", "first_block", "second_block").applyInArrow(_join_unit, "set_id long, links long, root long")
+    found = work.groupBy("part", "first_block", "second_block").applyInArrow(lambda t: _join_unit(t, key), "set_id binary, links long, root binary")
     found = materialize(found, "links")
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
     classes = connected_components(found.filter("root <> set_id").select(F.col("set_id").alias("u"), F.col("root").alias("v")), "classes")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import folded, small_arrow_batches, trim
+from .common import bounded_batches, folded, trim
 from .quality import held_out
 
 PROFILE, LONGEST = 300, 3
@@ -99,7 +99,7 @@ class Profiles:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles from the documents with a lang that are not held out."""
-    small_arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     amount = known.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n"))
     chosen = known.join(amount, F.col("lang") == F.col("__lang")).filter(F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 30)).cast("double") / (1 << 30) * F.col("__n") < sample)
@@ -134,7 +134,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
 
 def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, held_out, lang_pred and score of every document."""
-    small_arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*keep, held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("__text"))
     schema = StructType([*rows.drop("__text").schema, *StructType.fromDDL("lang_pred string, score double")])
 

@@ -9,8 +9,8 @@ The model learns from SAMPLE labelled rows at most, those with the smallest hash
 is broadcast and collected; scores cover all rows. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null text is empty text and gets a score like any other; without labelled rows of both classes
-every score is 0.5; null doc_id is held out; rows with several labels count with each; an empty table gives an
-empty table.
+every score is 0.5; null doc_id is held out; a doc_id counts once with each label it has, by one of its documents
+if it has several; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, pieces, small_arrow_batches, span_hashes, word_spans
+from .common import SPACE, bounded_batches, pieces, span_hashes, word_spans
 
 #: The most labelled rows to learn from.
 SAMPLE = 20_000
 #: Shares of the pooled covariance, and of its diagonal, in each class's covariance.
 TO_POOLED, TO_DIAGONAL = 0.1, 0.05
 FOLDS = 5
+#: Words and lines of one text are counted by hashes under a fixed key, as scores must not change from run to run.
+KEY = (1, 3, 5, 7)
 FEATURES = ("bytes", "words", "word_length", "word_spread", "upper", "digits", "punctuation", "symbols", "other_bytes", "space", "entropy", "distinct_words", "word_repeats", "line_breaks", "distinct_lines", "line_length", "ends")
 
 _KIND = np.zeros((256, 6))
@@ -68,7 +70,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     length = (ends - starts).astype(float)
     mean = part(np.bincount(of, length, rows), words)
     spread = np.sqrt(np.maximum(0, part(np.bincount(of, length**2, rows), words) - mean**2))
-    hashes = span_hashes(data, starts, ends)
+    hashes, _ = span_hashes(data, starts, ends, KEY)
     again = np.zeros(len(starts))
     again[1:] = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
     last = data[ends - 1] if len(ends) else data[:0]
@@ -78,7 +80,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     line_ends = np.append(line_starts[1:], len(data))
     line_row = np.searchsorted(at, line_starts, "right") - 1
     lines = np.bincount(line_row, minlength=rows).astype(float)
-    distinct_lines = _distinct(span_hashes(data, line_starts, line_ends), line_row, rows)
+    distinct_lines = _distinct(span_hashes(data, line_starts, line_ends, KEY)[0], line_row, rows)
     letters = kinds[:, 0] + kinds[:, 1]
     columns = [
         np.log1p(size),
@@ -147,11 +149,13 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Discriminant | None:
     """Learn from at most `sample` labelled rows that are not held out."""
-    small_arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = labels.filter(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1))
     rows = rows.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__y").limit(sample)
     # Not more than `sample` rows, whatever the input.
-    found = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("__id")).select("__y", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("__id"))
+    # Of documents that repeat an id one counts, so that not more than `sample` rows come back.
+    found = found.groupBy("__id", "__y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("__y", "text")
 
     def run(batches):
         for b in batches:
@@ -169,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 def scores(docs: DataFrame, model: Discriminant | None, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    small_arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

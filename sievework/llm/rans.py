@@ -8,7 +8,7 @@ One table of 16-bit frequencies serves all blocks of the file. A block codes som
 interleaved lanes: id k of a block belongs to lane k mod LANES, and all lanes share one stream of 16-bit words,
 so that encoder and decoder work on whole vectors of lanes. Blocks are independent; the block index has each
 block's place, its number of ids and the checksum of its bytes. Inside a block, checkpoints (the lanes' states
-and the place in the stream) let a decoder start at any of them.
+and the place in the stream) let a decoder start at any of them; the reader starts at all of them at once.
 """
 
 from __future__ import annotations
@@ -100,28 +100,41 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES) -> bytes:
     return head + places + b"".join(w.tobytes() for w in reversed(words))
 
 
-def decode_block(block: bytes, n: int, table: Table, from_checkpoint: int = 0, slots: np.ndarray | None = None) -> np.ndarray:
-    """The ids of a block of n ids, from a checkpoint's step on."""
-    lanes, n_marks, n_words = np.frombuffer(block, "<u4", 3).tolist()
-    if not n_marks:
-        return np.zeros(0, np.uint32)
-    one = 8 + 4 * lanes
-    at = 12 + from_checkpoint * one
-    first, place = np.frombuffer(block, "<u4", 2, at).tolist()
-    x = np.frombuffer(block, "<u4", lanes, at + 8).astype(np.uint64)
-    words = np.frombuffer(block, "<u2", n_words, 12 + n_marks * one).astype(np.uint64)
+def decode_blocks(blocks: list[bytes], sizes: list[int], table: Table, slots: np.ndarray | None = None) -> np.ndarray:
+    """The ids of blocks of so many ids each: all of their checkpoints are decoded side by side."""
     slots = table.slots() if slots is None else slots
-    out = np.zeros(n - first * lanes, np.uint32)
-    low = np.uint64((1 << SCALE_BITS) - 1)
-    for s in range(first, -(-n // lanes)):
-        y = x[: min(lanes, n - s * lanes)]
-        slot = y & low
+    states, firsts, places, words, out_at, room = [], [], [], [], [], []
+    sent = filled = lanes = 0
+    for block, n in zip(blocks, sizes, strict=True):
+        lanes, n_marks, n_words = np.frombuffer(block, "<u4", 3).tolist()
+        marks = np.frombuffer(block, "<u4", n_marks * (2 + lanes), 12).reshape(n_marks, 2 + lanes)
+        states.append(marks[:, 2:])
+        firsts.append(marks[:, 0].astype(np.int64))
+        places.append(marks[:, 1].astype(np.int64) + sent)
+        words.append(np.frombuffer(block, "<u2", n_words, 12 + 4 * n_marks * (2 + lanes)))
+        out_at.append(filled + firsts[-1] * lanes)
+        # A checkpoint is followed up to the next one.
+        room.append(np.diff(np.append(firsts[-1] * lanes, n)))
+        sent, filled = sent + n_words, filled + n
+    out = np.zeros(filled, np.uint32)
+    if not filled:
+        return out
+    x, place, at, left = np.concatenate(states).astype(np.uint64), np.concatenate(places), np.concatenate(out_at), np.concatenate(room)
+    stream = np.concatenate([*words, np.zeros(1, np.uint16)]).astype(np.uint64)
+    low, lane = np.uint64((1 << SCALE_BITS) - 1), np.arange(lanes)
+    while len(left):
+        slot = x & low
         symbol = slots[slot]
-        out[(s - first) * lanes : (s - first) * lanes + len(y)] = symbol
-        y[:] = table.freq[symbol] * (y >> np.uint64(SCALE_BITS)) + slot - table.start[symbol]
-        need = np.flatnonzero(y < _FLOOR)
-        y[need] = y[need] << np.uint64(WORD_BITS) | words[place : place + len(need)]
-        place += len(need)
+        live = lane < left[:, None]
+        out[(at[:, None] + lane)[live]] = symbol[live]
+        x = table.freq[symbol] * (x >> np.uint64(SCALE_BITS)) + slot - table.start[symbol]
+        need = (x < _FLOOR) & live
+        rank = np.cumsum(need, 1)
+        index = np.minimum((place[:, None] + rank - 1)[need], len(stream) - 1)
+        x[need] = x[need] << np.uint64(WORD_BITS) | stream[index]
+        place, at, left = place + rank[:, -1], at + lanes, left - lanes
+        more = left > 0
+        x, place, at, left = x[more], place[more], at[more], left[more]
     return table.symbols[out]
 
 
@@ -161,12 +174,14 @@ class File:
         self.data, self.base = data, at
         self._slots = self.table.slots() if symbols else None
 
-    def block(self, k: int) -> np.ndarray:
-        a, b = self.base + (int(self.ends[k - 1]) if k else 0), self.base + int(self.ends[k])
-        block = self.data[a:b]
-        if zlib.crc32(block) != int(self.sums[k]):
-            raise ValueError(f"block {k}'s checksum is wrong")
-        return decode_block(block, min(self.block_ids, self.n_ids - k * self.block_ids), self.table, slots=self._slots)
+    def blocks(self, first: int, end: int) -> np.ndarray:
+        """The ids of some blocks."""
+        at = np.concatenate([[0], self.ends]) + self.base
+        found = [self.data[at[k] : at[k + 1]] for k in range(first, end)]
+        for k, block in enumerate(found, first):
+            if zlib.crc32(block) != int(self.sums[k]):
+                raise ValueError(f"block {k}'s checksum is wrong")
+        return decode_blocks(found, [min(self.block_ids, self.n_ids - k * self.block_ids) for k in range(first, end)], self.table, self._slots)
 
     def ids(self) -> np.ndarray:
-        return np.concatenate([self.block(k) for k in range(len(self.ends))]) if len(self.ends) else np.zeros(0, np.uint32)
+        return self.blocks(0, len(self.ends))

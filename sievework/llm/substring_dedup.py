@@ -11,7 +11,8 @@ hash and the block's first document for each), and the cut. An occurrence stays
 
 Defined results: null and empty texts have no words and keep nothing; texts shorter than a window stay whole;
 null doc_id comes first; rows that repeat a doc_id are separate documents, of which one comes first; an empty
-table gives an empty table. Windows are compared by 64-bit hashes.
+table gives an empty table. Words are told apart by their bytes (longer ones by BLAKE2), windows by 128 bits
+from them under a key that is drawn for each run; an anchor's 64 bits only name candidates.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .blocks import DOC, MESSAGE_SCHEMA, Block, answered, messages, n_buckets, pack, per_block, with_answers
-from .common import join_hashes, ragged, span_hashes, word_spans
+from .blocks import DOC, MESSAGE_SCHEMA, Block, answered, messages, n_tasks, pack, per_block, text_bytes, with_answers
+from .common import buckets_for, fresh_key, join_hashes, ragged, span_hashes, word_spans
 
 PERIOD = 13
 COVER = np.isin(np.arange(PERIOD), [0, 1, 3, 9])
 
 
-def sequence_hashes(words: np.ndarray, length: int) -> np.ndarray:
+def sequence_hashes(words: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     """Hash of the `length` words from every place on; places too near the end are left out."""
     n = len(words) - length + 1
     if n <= 0:
@@ -38,21 +39,21 @@ def sequence_hashes(words: np.ndarray, length: int) -> np.ndarray:
     while rest:
         if rest & 1:
             part = power[done : done + n]
-            out = part.copy() if out is None else join_hashes(out, part)
+            out = part.copy() if out is None else join_hashes(out, part, lane)
             done += len(words) - len(power) + 1
         rest >>= 1
         if rest:
             width = len(words) - len(power) + 1
-            power = join_hashes(power[:-width], power[width:]) if len(power) > width else power[:0]
+            power = join_hashes(power[:-width], power[width:], lane) if len(power) > width else power[:0]
     return out
 
 
 class Words:
     """Words of a block, with the places where windows may start."""
 
-    def __init__(self, block: Block, window: int):
+    def __init__(self, block: Block, window: int, key: tuple[int, ...]):
         self.starts, self.ends, self.at = word_spans(block.data, block.at)
-        self.hashes = span_hashes(block.data, self.starts, self.ends)
+        self.hashes, self.second = span_hashes(block.data, self.starts, self.ends, key)
         self.doc = np.repeat(np.arange(len(block.ids)), np.diff(self.at))
         self.place = np.arange(len(self.starts)) - self.at[self.doc] if len(self.doc) else self.doc
         self.left = self.at[self.doc + 1] - np.arange(len(self.starts)) if len(self.doc) else self.doc
@@ -64,14 +65,16 @@ class Words:
         places = np.flatnonzero(COVER[self.place % PERIOD] & (self.left >= length))
         return places, sequence_hashes(self.hashes, length)[places] if len(places) else np.zeros(0, np.uint64)
 
-    def candidates(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows that hold one of the anchors."""
+    def candidates(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and both hashes of the windows that hold one of the anchors."""
         edge = np.zeros(len(self.starts) + 1, np.int32)
         first = np.maximum(places - (PERIOD - 1), self.at[self.doc[places]] if len(places) else 0)
         np.add.at(edge, first, 1)
         np.add.at(edge, places + 1, -1)
         starts = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (self.left >= self.window))
-        return starts, sequence_hashes(self.hashes, self.window)[starts] if len(starts) else np.zeros(0, np.uint64)
+        if not len(starts):
+            return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return starts, sequence_hashes(self.hashes, self.window)[starts], sequence_hashes(self.second, self.window, 1)[starts]
 
 
 def unique(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +82,18 @@ def unique(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
 
 
-def _shared(hashes, extra, ids, block):
+def distinct_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct pair, in order of the pairs, and each place's number in that order."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    inverse = np.zeros(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
+def _shared(hashes, extra, block):
     """1 for hashes that more than one block sent."""
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
@@ -90,12 +104,18 @@ def _shared(hashes, extra, ids, block):
     return out
 
 
-def later_entries(hashes, extra, ids, block):
-    """1 for entries of a hash that another entry precedes, by document and then block."""
-    order = np.lexsort((block, ids, hashes))
-    h = hashes[order]
+def later_entries(hashes, extra, block):
+    """1 for entries whose hashes another entry precedes, by document and then block."""
+    order = np.lexsort((block, extra["doc"], extra["check"], hashes))
+    h, c = hashes[order], extra["check"][order]
     out = np.zeros(len(h), np.uint8)
-    out[order[1:]] = h[1:] == h[:-1]
+    out[order[1:]] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    return out
+
+
+def entries(docs: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(docs), DOC)
+    out["doc"], out["check"] = docs, checks
     return out
 
 
@@ -115,27 +135,30 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ("
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
     blocks = pack(docs, keep, text)
+    key = fresh_key()
+    total = text_bytes(blocks)
+    first_buckets, second_buckets, tasks = buckets_for(int(0.4 * total)), buckets_for(int(1.2 * total)), n_tasks(total)
 
     def send_anchors(block: Block):
-        _, hashes = Words(block, window).anchors()
+        _, hashes = Words(block, window, key).anchors()
         return messages(block.id, first_buckets, np.unique(hashes))
 
     def send_windows(block: Block, shared: np.ndarray):
-        words = Words(block, window)
-        starts, hashes = words.candidates(_repeated(words, shared))
-        distinct, first, _, _ = unique(hashes)
-        return messages(block.id, second_buckets, distinct, words.doc[starts[first]].astype(DOC), block.ids)
+        words = Words(block, window, key)
+        starts, hashes, second = words.candidates(_repeated(words, shared))
+        first, _ = distinct_pairs(hashes, second)
+        return messages(block.id, second_buckets, hashes[first], entries(block.ids[words.doc[starts[first]]], second[first]))
 
     schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL("n_words long, n_removed long, kept string")])
     arrow = to_arrow_schema(schema)
 
     def cut(block: Block, shared: np.ndarray, later: np.ndarray):
-        words = Words(block, window)
-        starts, hashes = words.candidates(_repeated(words, shared))
+        words = Words(block, window, key)
+        starts, hashes, second = words.candidates(_repeated(words, shared))
         n = len(words.starts)
         gone = np.zeros(n, bool)
         if len(starts):
-            _, first, inverse, _ = unique(hashes)
+            first, _ = distinct_pairs(hashes, second)
             marked = np.ones(len(starts), bool)
             marked[first] = later > 0
             edge = np.zeros(n + 1, np.int32)
@@ -156,11 +179,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ("
                 texts[k] = block.data[block.at[k] : block.at[k + 1]].tobytes().decode()
         return block.beside(arrow, np.diff(words.at), removed, texts)
 
-    first_buckets = n_buckets(blocks, 0.4)
-    second_buckets = n_buckets(blocks, 0.8)
-    shared = answered(per_block(blocks, send_anchors, MESSAGE_SCHEMA), _shared, "anchors")
-    later = answered(with_answers(blocks, [shared], send_windows, MESSAGE_SCHEMA), later_entries, "windows")
-    return with_answers(blocks, [shared, later], cut, schema)
+    shared = answered(per_block(blocks, send_anchors, MESSAGE_SCHEMA), _shared, "anchors", first_buckets)
+    later = answered(with_answers(blocks, [shared], send_windows, MESSAGE_SCHEMA, tasks), later_entries, "windows", second_buckets)
+    return with_answers(blocks, [shared, later], cut, schema, tasks)
 
 
 def digests(docs: DataFrame, window: int = 20) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import materialize, pieces, small_arrow_batches
+from .common import materialize, pieces, bounded_batches
 from .word_cache import WordCache
 
 FILE_IDS = 1 << 22
@@ -29,7 +29,7 @@ _made: dict[str, WordCache] = {}
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "text") -> DataFrame:
     """The files: part, number (their order), n_docs, n_ids and file."""
-    small_arrow_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("__text"))
     names = ["part", "number", "n_docs", "n_ids", "file"]
@@ -69,7 +69,7 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def _read(files: DataFrame, name: str, kind: str, of, arrow: pa.DataType) -> DataFrame:
-    small_arrow_batches(files.sparkSession, 1)
+    bounded_batches(files.sparkSession)
     # One row for each file of some million ids.
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("part", "number", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))

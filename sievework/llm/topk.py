@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_arrow_batches
+from .common import materialize, bounded_batches
 
 SCALE = 256
 SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 4096, 64, 1024
@@ -141,7 +141,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 def pack(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """Shards (kind 0) and, with their bounds from their own shard, the queries of each shard (kind 1)."""
     spark = vectors.sparkSession
-    small_arrow_batches(spark)
+    bounded_batches(spark)
     parts = max(1, -(-vectors.count() // SHARD_ROWS))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
 
@@ -213,7 +213,7 @@ def _merged(queries: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query; vectors has vec_id and embedding."""
     packed = pack(vectors, is_query, k)
-    small_arrow_batches(packed.sparkSession, 1)
+    bounded_batches(packed.sparkSession)
     by_dim = Window.partitionBy("dim")
     shards = packed.filter("kind = 0")
     # Shards get numbers within their length of vector; a number stands for some thousand rows.

@@ -1,17 +1,20 @@
-"""Lossless WebP (VP8L): a decoder for the whole format, and a batch writer and reader for byte payloads.
+"""Lossless WebP (VP8L): a decoder for the whole format, and a writer for byte payloads.
 
-`decode` reads any lossless image: prefix codes, back-references, colour cache, meta prefix codes, and the
-predictor, cross-colour, subtract-green and palette transforms; it returns an array of ARGB bytes.
+`decode_many` reads any lossless images: prefix codes, back-references, colour cache, meta prefix codes, and the
+predictor, cross-colour, subtract-green and palette transforms; each becomes an array of ARGB bytes. Images with
+one group of codes and no colour cache, whose red, blue and alpha are constant, are followed side by side, a token
+of each in a step; all others, and the last few of the former, pixel by pixel.
 
-`encode_payloads` stores byte strings as grey images: the green channel holds the bytes under one complete
-prefix code that suits text, and the subtract-green transform makes the pixels grey. As all such files share
-their prefix-code header, `decode_payloads` reads many of them at once: it finds where every code would end
-from every bit, follows that chain by doubling, and looks all symbols up together. A file with any other
-header goes through `decode`.
+`encode_payloads` stores byte strings as grey images of at most ROWS rows: literals and back-references to what came
+before in the image, under one complete prefix code that suits text, with the subtract-green transform; or, where
+that is smaller, a palette whose indexes share pixels. Predictor, cross-colour and colour cache never make grey text
+smaller (a literal is one code of a few bits), so the writer leaves them out.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from .common import ragged
@@ -34,6 +37,10 @@ class Bits:
         k = self.at >> 3
         return (int.from_bytes(self.data[k : k + 8], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
+    def peek_many(self, n: int) -> int:
+        k = self.at >> 3
+        return (int.from_bytes(self.data[k : k + n // 8 + 2], "little") >> (self.at & 7)) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         out = self.peek(n)
         self.at += n
@@ -122,20 +129,61 @@ def _amount(bits: Bits, code: int) -> int:
     return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
 
 
-def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
-    """An entropy-coded image: uint32 ARGB pixels in raster order."""
+@dataclass
+class Codes:
+    """What comes before the pixels of an entropy-coded image."""
+
+    cache_bits: int
+    shift: int
+    columns: int
+    groups_at: list[int] | None
+    groups: list[list[PrefixCode]]
+
+    def side_by_side(self) -> bool:
+        return not self.cache_bits and len(self.groups) == 1 and all(c.only is not None for c in self.groups[0][1:4]) and self.groups[0][0].only is None
+
+
+#: Groups of prefix codes that were read before, by their number of bits and those bits: files of one writer share them.
+_seen: dict[tuple[int, int, int], list[PrefixCode]] = {}
+_REMEMBERED = 64
+
+
+def _group(bits: Bits, cache_bits: int) -> list[PrefixCode]:
+    first = bits.at
+    for (n, value, cache), group in _seen.items():
+        if cache == cache_bits and bits.peek_many(n) == value:
+            bits.at += n
+            return group
+    sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    group = [read_prefix_code(bits, n) for n in sizes]
+    n, bits.at = bits.at - first, first
+    if len(_seen) >= _REMEMBERED:
+        _seen.pop(next(iter(_seen)))
+    _seen[n, bits.peek_many(n), cache_bits] = group
+    bits.at += n
+    return group
+
+
+def _codes(bits: Bits, width: int, height: int, top: bool) -> Codes:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("colour cache too large")
-    shift, groups_at, columns = 0, None, 1
-    n_groups = 1
+    shift, groups_at, columns, n_groups = 0, None, 1, 1
     if top and bits.read(1):
         shift = bits.read(3) + 2
         columns, rows = (width + (1 << shift) - 1) >> shift, (height + (1 << shift) - 1) >> shift
         groups_at = ((_image(bits, columns, rows, False) >> 8) & 0xFFFF).tolist()
         n_groups = max(groups_at) + 1
-    sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    groups = [[read_prefix_code(bits, n) for n in sizes] for _ in range(n_groups)]
+    return Codes(cache_bits, shift, columns, groups_at, [_group(bits, cache_bits) for _ in range(n_groups)])
+
+
+def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
+    return _pixels(bits, _codes(bits, width, height, top), width, height)
+
+
+def _pixels(bits: Bits, codes: Codes, width: int, height: int) -> np.ndarray:
+    """The pixels of an entropy-coded image, one by one: uint32 ARGB in raster order."""
+    cache_bits, shift, columns, groups_at, groups = codes.cache_bits, codes.shift, codes.columns, codes.groups_at, codes.groups
     n, out, k = width * height, [0] * (width * height), 0
     cache, cached_to = [0] * (1 << cache_bits), 0
     green, red, blue, alpha, dist = groups[0]
@@ -149,12 +197,8 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
             out[k] = a << 24 | r << 16 | s << 8 | b
             k += 1
         elif s < 280:
-            length, d = _amount(bits, s - 256), _amount(bits, dist.read(bits))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            length = _amount(bits, s - 256)
+            d = _distance(_amount(bits, dist.read(bits)), width)
             if d > k or k + length > n:
                 raise ValueError("back-reference out of range")
             for j in range(k, k + length):
@@ -171,6 +215,121 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
+def _distance(code: int, width: int) -> int:
+    if code > 120:
+        return code - 120
+    x, y = NEAR[code - 1]
+    return max(1, x + y * width)
+
+
+#: Lengths and distances of prefix symbols: extra bits, and the value with all of them 0.
+_EXTRA = np.array([0 if c < 4 else (c - 2) >> 1 for c in range(40)], np.uint64)
+_BASE = np.array([c + 1 if c < 4 else ((2 + (c & 1)) << ((c - 2) >> 1)) + 1 for c in range(40)], np.int64)
+_LOW = np.array([(1 << k) - 1 for k in range(64)], np.uint64)
+_NEAR_X, _NEAR_Y = (np.array([p[k] for p in NEAR], np.int64) for k in range(2))
+#: Fewer images than these are followed one by one.
+FEWEST = 120
+
+
+def _table(code: PrefixCode) -> tuple[np.ndarray, np.uint64]:
+    """Symbol and number of bits (the lowest four bits of an entry) by the next bits, and the mask for these."""
+    if code.only is not None:
+        return np.array([code.only << 4]), np.uint64(0)
+    return code.symbol.astype(np.int64) << 4 | code.length, np.uint64((1 << code.width) - 1)
+
+
+def _greens(stream: np.ndarray, places: np.ndarray, counts: np.ndarray, widths: np.ndarray, green: PrefixCode, dist: PrefixCode) -> np.ndarray:
+    """The green samples of images in one byte stream whose pixels begin at the bit places, one image after the other."""
+    padded = np.concatenate([stream, np.zeros(16, np.uint8)])
+    words = np.ndarray(len(stream) + 9, "<u8", padded, 0, (1,))
+    (g_table, g_mask), (d_table, d_mask) = _table(green), _table(dist)
+    last = len(stream) * 8
+    firsts = np.cumsum(counts) - counts
+    place, here, end, first, width = places.astype(np.int64), firsts.copy(), firsts + counts, firsts.copy(), widths.astype(np.int64)
+    out = np.zeros(int(counts.sum()), np.uint8)
+    while len(here) >= FEWEST:
+        w = words[place >> 3] >> (place & 7).view(np.uint64)
+        entry = g_table[w & g_mask]
+        symbol, used = entry >> 4, entry & 15
+        step = 1
+        c = np.flatnonzero(symbol >= 256)
+        # Where a copy comes, the value written here is overwritten by it.
+        out[here] = symbol.astype(np.uint8)
+        if len(c):
+            s = symbol[c] - 256
+            extra = _EXTRA[s]
+            w2 = w[c] >> used[c].view(np.uint64)
+            length = _BASE[s] + (w2 & _LOW[extra]).view(np.int64)
+            w2 >>= extra
+            entry = d_table[w2 & d_mask]
+            d, bits = entry >> 4, entry & 15
+            more = _EXTRA[d]
+            away = _BASE[d] + (w2 >> bits.view(np.uint64) & _LOW[more]).view(np.int64) - 120
+            used[c] += bits + (extra + more).view(np.int64)
+            at = here[c]
+            if away.min() <= 0:
+                near = np.flatnonzero(away <= 0)
+                away[near] = np.maximum(1, _NEAR_X[away[near] + 119] + _NEAR_Y[away[near] + 119] * width[c[near]])
+            if (away > at - first[c]).any() or (at + length > end[c]).any():
+                raise ValueError("back-reference out of range")
+            step = np.ones(len(here), np.int64)
+            step[c] = length
+            ends = np.cumsum(length)
+            inner = np.arange(ends[-1]) - np.repeat(ends - length, length)
+            target = np.repeat(at, length) + inner
+            # A copy that reaches into itself repeats what it began with.
+            if (away < length).any():
+                inner %= np.repeat(away, length)
+            out[target] = out[np.repeat(at - away, length) + inner]
+        here = here + step
+        place = place + used
+        more = here < end
+        if not more.all():
+            if (place > last).any():
+                raise ValueError("truncated image")
+            place, here, end, first, width = place[more], here[more], end[more], first[more], width[more]
+        elif place.max() > last:
+            raise ValueError("truncated image")
+    whole = padded.tobytes() if len(here) else b""
+    for p, k, e, f, w in zip(place.tolist(), here.tolist(), end.tolist(), first.tolist(), width.tolist(), strict=True):
+        image = bytearray(out[f:e].tobytes())
+        _follow(whole, p, image, k - f, w, green, dist, last)
+        out[f:e] = np.frombuffer(image, np.uint8)
+    return out
+
+
+def _follow(data: bytes, place: int, image: bytearray, k: int, width: int, green: PrefixCode, dist: PrefixCode, last: int) -> None:
+    """Fill one image from a token on."""
+    pairs, mask = green.pairs, (1 << green.width) - 1
+    d_pairs, d_mask = (dist.pairs, (1 << dist.width) - 1) if dist.only is None else ([(dist.only, 0)], 0)
+    extra, base, end = _EXTRA.tolist(), _BASE.tolist(), len(image)
+    while k < end:
+        w = int.from_bytes(data[place >> 3 : (place >> 3) + 8], "little") >> (place & 7)
+        s, n = pairs[w & mask]
+        place += n
+        if s < 256:
+            image[k] = s
+            k += 1
+            continue
+        w >>= n
+        e = extra[s - 256]
+        length = base[s - 256] + (w & ((1 << e) - 1))
+        w >>= e
+        d, n = d_pairs[w & d_mask]
+        f = extra[d]
+        away = _distance(base[d] + (w >> n & ((1 << f) - 1)), width)
+        place += e + n + f
+        if away > k or k + length > end:
+            raise ValueError("back-reference out of range")
+        if place > last:
+            raise ValueError("truncated image")
+        part = image[k - away : k - away + length]
+        image[k : k + length] = part if away >= length else (part[:away] * (length // away + 1))[:length]
+        k += length
+    if place > last:
+        raise ValueError("truncated image")
+
+
 def _channels(pixels: np.ndarray) -> np.ndarray:
     """(n, 4) bytes as blue, green, red, alpha."""
     return pixels.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -274,8 +433,20 @@ def image_chunk(data: bytes) -> tuple[bytes, int]:
     raise ValueError("no lossless image")
 
 
-def decode(data: bytes) -> np.ndarray:
-    """(height, width, 4) bytes in the order alpha, red, green, blue."""
+@dataclass
+class Picture:
+    """An image up to its pixels: sizes, transforms to undo in reverse order, the width they leave, and its codes."""
+
+    width: int
+    height: int
+    opaque: bool
+    undo: list
+    packed_width: int
+    codes: Codes
+    bits: Bits
+
+
+def parse(data: bytes) -> Picture:
     chunk, _ = image_chunk(data)
     if not chunk or chunk[0] != SIGNATURE:
         raise ValueError("bad signature")
@@ -296,7 +467,7 @@ def decode(data: bytes) -> np.ndarray:
             part = _image(bits, (now + side) >> size_bits, (height + side) >> size_bits, False)
             undo.append((_undo_predictor if kind == PREDICTOR else _undo_cross_colour, (now, height, size_bits, part)))
         elif kind == SUBTRACT_GREEN:
-            undo.append((lambda p: (p + np.stack([p[:, 1], 0 * p[:, 1], p[:, 1], 0 * p[:, 1]], 1)).astype(np.uint8), ()))
+            undo.append((_undo_subtract_green, ()))
         else:
             n = bits.read(8) + 1
             table = np.cumsum(_channels(_image(bits, n, 1, False)), 0, dtype=np.int64).astype(np.uint8)
@@ -304,16 +475,56 @@ def decode(data: bytes) -> np.ndarray:
             packed = (now + (1 << share) - 1) >> share
             undo.append((_undo_palette, (packed, now, height, table)))
             now = packed
-    bgra = _channels(_image(bits, now, height, True))
-    for f, args in reversed(undo):
+    return Picture(width, height, opaque, undo, now, _codes(bits, now, height, True), bits)
+
+
+def _undo_subtract_green(bgra: np.ndarray) -> np.ndarray:
+    out = bgra.copy()
+    out[:, 0] += bgra[:, 1]
+    out[:, 2] += bgra[:, 1]
+    return out
+
+
+def _finished(p: Picture, bgra: np.ndarray) -> np.ndarray:
+    for f, args in reversed(p.undo):
         bgra = f(bgra, *args)
-    out = bgra[:, ::-1].reshape(height, width, 4)
-    if opaque:
+    out = bgra[:, ::-1].reshape(p.height, p.width, 4)
+    if p.opaque:
         out = out.copy()
         out[:, :, 0] = 255
     return out
 
 
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """Of each file (height, width, 4) bytes in the order alpha, red, green, blue."""
+    pictures = [parse(f) for f in files]
+    out: list[np.ndarray | None] = [None] * len(files)
+    together: dict[int, list[int]] = {}
+    for k, p in enumerate(pictures):
+        if p.codes.side_by_side():
+            together.setdefault(id(p.codes.groups[0]), []).append(k)
+        else:
+            out[k] = _finished(p, _channels(_pixels(p.bits, p.codes, p.packed_width, p.height)))
+    for some in together.values():
+        group = pictures[some[0]].codes.groups[0]
+        sizes = np.array([len(pictures[k].bits.data) for k in some])
+        starts = np.cumsum(sizes) - sizes
+        places = 8 * starts + np.array([pictures[k].bits.at for k in some])
+        counts = np.array([pictures[k].packed_width * pictures[k].height for k in some])
+        widths = np.array([pictures[k].packed_width for k in some])
+        greens = _greens(np.frombuffer(b"".join(pictures[k].bits.data for k in some), np.uint8), places, counts, widths, group[0], group[4])
+        for k, a, n in zip(some, (np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True):
+            bgra = np.empty((n, 4), np.uint8)
+            bgra[:, 0], bgra[:, 1], bgra[:, 2], bgra[:, 3] = group[2].only, greens[a : a + n], group[1].only, group[3].only
+            out[k] = _finished(pictures[k], bgra)
+    return out
+
+
+def decode(data: bytes) -> np.ndarray:
+    """(height, width, 4) bytes in the order alpha, red, green, blue."""
+    return decode_many([data])[0]
+
+
 class BitWriter:
     """Collects bits, least significant first."""
 
@@ -371,155 +582,242 @@ def put_prefix_code(w: BitWriter, lengths) -> None:
         w.put(int(codes[n]), int(of[n]))
 
 
-#: Width of a payload's image; a payload fills whole rows.
-ROW = 576
-#: The longest code of the payload code, so that its lookup table stays in a CPU's cache.
+#: Width of a payload's image, and its most rows: a longer payload becomes several images, read side by side.
+ROW, ROWS = 576, 24
+#: The longest code of the payload codes, so that their tables stay in a CPU's cache.
 LONGEST = 12
+#: Bytes of a back-reference at least and at most; short ones far away cost more than their literals.
+SHORTEST, SHORT_REACH, LONGEST_COPY = 4, 512, 128
 
 
-def _text_weights() -> np.ndarray:
-    """How often each byte is expected, roughly, in text in any alphabet: a rule, not a count."""
-    w = np.full(256, 2, np.int64)
+def _green_weights() -> np.ndarray:
+    """How often each byte, and each length of a back-reference, is expected in text in any alphabet: a rule, not a count."""
+    w = np.full(280, 4, np.int64)
     w[0x80:0xC0] = 24
     w[0xC3] = 60
     for c in range(ord("0"), ord("9") + 1):
-        w[c] = 16
+        w[c] = 40
     for c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
-        w[c] = 16
+        w[c] = 30
     for c in b"abcdefghijklmnopqrstuvwxyz":
         w[c] = 90
     for c in b"etaoinshr":
-        w[c] = 420
-    w[ord(" ")] = 1000
+        w[c] = 250
+    w[ord(" ")] = 400
     for c in b".,\n":
-        w[c] = 50
+        w[c] = 60
+    # Lengths from SHORTEST on, the longer the rarer.
+    for prefix in range(3, 24):
+        w[256 + prefix] = max(4, 900 >> max(0, (prefix - 4) // 2))
     return w
 
 
-LENGTHS = huffman_lengths(_text_weights(), LONGEST)
-CODES = canonical(LENGTHS).astype(np.uint64)
-_CODE = PrefixCode(LENGTHS)
+def _distance_weights() -> np.ndarray:
+    """Distances are sent as themselves and 120: most lie within some thousand bytes."""
+    w = np.full(40, 1, np.int64)
+    for prefix in range(13, 33):
+        w[prefix] = 40 if prefix < 15 else 200
+    return w
 
 
-def _payload_header() -> BitWriter:
-    """What follows size and version in every payload image."""
+GREEN, DISTANCE = huffman_lengths(_green_weights(), LONGEST), huffman_lengths(_distance_weights(), LONGEST)
+GREEN_CODES, DISTANCE_CODES = canonical(GREEN).astype(np.uint64), canonical(DISTANCE).astype(np.uint64)
+
+
+def _put_single(w: BitWriter, symbol: int) -> None:
+    w.put(1, 1)
+    w.put(0, 1)
+    w.put(int(symbol > 1), 1)
+    w.put(symbol, 8 if symbol > 1 else 1)
+
+
+def _put_text_codes(w: BitWriter) -> None:
+    """No colour cache, one group: green and distances under the text codes, nothing in red and blue, full alpha."""
+    w.put(0, 2)
+    put_prefix_code(w, GREEN)
+    for symbol in (0, 0, 255):
+        _put_single(w, symbol)
+    put_prefix_code(w, DISTANCE)
+
+
+def _grey_header() -> BitWriter:
     w = BitWriter()
     w.put(1, 1)
     w.put(SUBTRACT_GREEN, 2)
-    w.put(0, 1)  # no more transforms
-    w.put(0, 2)  # no colour cache, one group
-    put_prefix_code(w, [*LENGTHS, *[0] * 24])
-    for symbol in (0, 0, 255, 0):
-        w.put(1, 1)
-        w.put(0, 1)
-        w.put(int(symbol > 1), 1)
-        w.put(symbol, 8 if symbol > 1 else 1)
+    w.put(0, 1)
+    _put_text_codes(w)
     return w
 
 
-_HEADER = _payload_header()
-_HEAD_BYTES = np.frombuffer(_HEADER.bytes(), np.uint8)
-#: Bytes of a file before its image bits: RIFF, chunk header, signature, size and version.
-_BEFORE = 12 + 8 + 5
+def _palette_header(values: np.ndarray) -> BitWriter:
+    """Header of an image of few grey colours: a table of their differences under flat codes."""
+    w = BitWriter()
+    w.put(1, 1)
+    w.put(PALETTE, 2)
+    w.put(len(values) - 1, 8)
+    w.put(0, 1)
+    flat = canonical([8] * 256)
+    put_prefix_code(w, [8] * 256 + [0] * 24)
+    for _ in range(2):
+        put_prefix_code(w, [8] * 256)
+    lengths = np.zeros(256, np.int64)
+    lengths[[0, 255]] = 1
+    put_prefix_code(w, lengths)
+    _put_single(w, 0)
+    for k, d in enumerate(np.diff(values.astype(np.int64), prepend=0).tolist()):
+        for _ in range(3):
+            w.put(int(flat[d & 255]), 8)
+        w.put(int(k == 0), 1)  # alpha 255 first, and no difference after
+    w.put(0, 1)
+    _put_text_codes(w)
+    return w
+
+
+_GREY = _grey_header()
+
+
+def _matches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the length of a back-reference, 0 if none pays, and how far it reaches. ends has the end of each place's image."""
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    words = np.ndarray(n + 9, "<u8", padded, 0, (1,))
+    four = words[:n].astype(np.uint32)
+    key = ((four * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    here, before = order[1:][same], order[:-1][same]
+    fine = (ends[before] == ends[here]) & (four[before] == four[here]) & (here + SHORTEST <= ends[here])
+    here, before = here[fine], before[fine]
+    reach = np.zeros(n, np.int32)
+    reach[here] = here - before
+    # Where the places that follow reach back as far, the reference goes on over them.
+    last = np.append(np.flatnonzero(reach[1:] != reach[:-1]), n - 1)
+    length = np.minimum(np.repeat(last, np.diff(last, prepend=-1)) - np.arange(n) + SHORTEST, LONGEST_COPY)
+    pays = (reach > 0) & ((length > SHORTEST) | (reach < SHORT_REACH))
+    return np.where(pays, length, 0), reach
+
+
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, number of extra bits and their value, of lengths or distances from 1 on."""
+    x = value.astype(np.int64) - 1
+    high = np.frexp(np.maximum(x, 1).astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.maximum(high - 1, 0)
+    symbol = np.where(x < 4, x, 2 * high + (x >> extra & 1))
+    extra = np.where(x < 4, 0, extra)
+    return symbol, extra, np.where(x < 4, 0, x & ((1 << extra) - 1))
+
+
+#: Doublings of the jump table of the greedy parse.
+_DOUBLINGS = 6
+
+
+def _parsed(step: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places that steps from the start of each image reach; no step leaves its image."""
+    n = len(step)
+    jump = np.append(np.arange(n, dtype=np.int32) + step, n).astype(np.int32)
+    jumps = [jump]
+    for _ in range(_DOUBLINGS):
+        jumps.append(jumps[-1][jumps[-1]])
+    here, end, anchors, ends = at[:-1].astype(np.int32), at[1:], [], []
+    while len(here):
+        anchors.append(here)
+        ends.append(end)
+        here = jumps[-1][here]
+        more = here < end
+        here, end = here[more], end[more]
+    anchors, ends = np.concatenate(anchors), np.concatenate(ends)
+    order = np.argsort(anchors, kind="stable")
+    places, ends = anchors[order][:, None], ends[order]
+    for j in reversed(jumps[:-1]):
+        places = np.stack([places, j[places]], 2).reshape(len(anchors), -1)
+    # What lies behind an image's end is reached from the next image's start as well.
+    return places[places < ends[:, None]].astype(np.int64)
+
+
+def _pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes with their numbers of bits, in order, and the n+1 code offsets of the images."""
+    lengths, reach = _matches(data, np.repeat(at[1:], np.diff(at)))
+    places = _parsed(np.maximum(lengths, 1), at)
+    copy = lengths[places] > 0
+    value, bits = GREEN_CODES[data[places]], GREEN[data[places]]
+    length, reach = lengths[places[copy]], reach[places[copy]].astype(np.int64)
+    symbol, extra, low = _prefix(length)
+    value[copy] = GREEN_CODES[256 + symbol] | low.astype(np.uint64) << GREEN[256 + symbol].astype(np.uint64)
+    bits[copy] = GREEN[256 + symbol] + extra
+    symbol, extra, low = _prefix(reach + 120)
+    far = DISTANCE_CODES[symbol] | low.astype(np.uint64) << DISTANCE[symbol].astype(np.uint64)
+    # A copy's distance follows its length.
+    slot = np.arange(len(places)) + np.cumsum(copy) - copy
+    values, widths = np.zeros(len(places) + int(copy.sum()), np.uint64), np.zeros(len(places) + int(copy.sum()), np.int64)
+    values[slot], widths[slot] = value, bits
+    values[slot[copy] + 1], widths[slot[copy] + 1] = far, DISTANCE[symbol] + extra
+    first = np.searchsorted(places, at)
+    return values, widths, np.append(slot, len(values))[first]
 
 
 def _pack(codes: np.ndarray, places: np.ndarray, n_bits: int) -> np.ndarray:
-    """Codes laid at bit places (ascending, not overlapping) as bytes."""
+    """Codes of up to 32 bits laid at bit places (ascending, not overlapping) as bytes."""
     words = np.zeros(n_bits // 32 + 2, np.uint64)
     word = places >> 5
     shifted = codes << (places & 31).astype(np.uint64)
     first = np.flatnonzero(np.diff(word, prepend=-1))
-    sums = np.add.reduceat(shifted, first)
-    words[word[first]] += sums & np.uint64(0xFFFFFFFF)
-    words[word[first] + 1] += sums >> np.uint64(32)
+    sums = np.bitwise_or.reduceat(shifted, first)
+    words[word[first]] |= sums & np.uint64(0xFFFFFFFF)
+    words[word[first] + 1] |= sums >> np.uint64(32)
     return words.astype("<u4").view(np.uint8)
 
 
+def _files(data: np.ndarray, at: np.ndarray, headers: list[BitWriter], rows: np.ndarray) -> list[bytes]:
+    """A file for each row of green samples."""
+    values, widths, first = _pieces(data, at)
+    upto = np.concatenate([[0], np.cumsum(widths)])
+    bits = np.diff(upto[first])
+    head = np.array([h.size for h in headers])
+    # Image bits begin after signature, sizes and version: 5 bytes.
+    chunk = 5 + (head + bits + 7) // 8
+    starts = np.concatenate([[0], np.cumsum(chunk)])
+    base = 8 * (starts[:-1] + 5) + head - upto[first[:-1]]
+    out = _pack(values, upto[:-1] + np.repeat(base, np.diff(first)), 8 * int(starts[-1]))[: starts[-1]].copy()
+    whole, files = out.tobytes(), []
+    for k, h in enumerate(headers):
+        a, b = int(starts[k]), int(starts[k + 1])
+        start = a + 5 + h.size // 8
+        # The header's last byte shares its bits with the first code.
+        body = h.bytes()[: h.size // 8] + (bytes([h.bytes()[-1] | whole[start]]) + whole[start + 1 : b] if h.size % 8 else whole[start:b])
+        chunk_bytes = bytes([SIGNATURE]) + (ROW - 1 | int(rows[k] - 1) << 14).to_bytes(4, "little") + body
+        size = len(chunk_bytes)
+        files.append(b"RIFF" + (12 + size + (size & 1)).to_bytes(4, "little") + b"WEBPVP8L" + size.to_bytes(4, "little") + chunk_bytes + b"\0" * (size & 1))
+    return files
+
+
+def _with_palette(data: np.ndarray) -> bytes | None:
+    """A payload's file with a palette, if it has 16 values at most."""
+    values = np.flatnonzero(np.bincount(data, minlength=256))
+    if len(values) > 16:
+        return None
+    share = palette_share(len(values))
+    index = np.searchsorted(values, data).reshape(-1, 1 << share)
+    packed = (index << (np.arange(1 << share) * (8 >> share))).sum(1).astype(np.uint8)
+    return _files(packed, np.array([0, len(packed)]), [_palette_header(values)], np.array([len(data) // ROW]))[0]
+
+
 def encode_payloads(data: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """One WebP file for each row of bytes; rows have a positive multiple of ROW bytes, ROW * MAX_SIDE at most."""
+    """One WebP file for each row of bytes; rows have a positive multiple of ROW bytes, ROW * ROWS at most."""
     sizes = np.diff(at)
     if not len(sizes):
         return []
     if (sizes <= 0).any() or (sizes % ROW).any() or (sizes > ROW * MAX_SIDE).any():
         raise ValueError("a payload image takes 1 to 16384 whole rows")
-    lengths = LENGTHS[data]
-    ends = np.cumsum(lengths)
-    bits = np.diff(ends[at[1:] - 1], prepend=0)
-    chunk = 5 + (_HEADER.size + bits + 7) // 8
-    files = 20 + chunk + (chunk & 1)
-    starts = np.concatenate([[0], np.cumsum(files)])
-    base = 8 * (starts[:-1] + _BEFORE) + _HEADER.size - (ends[at[1:] - 1] - bits)
-    out = _pack(CODES[data], ends - lengths + np.repeat(base, sizes), 8 * int(starts[-1]))[: starts[-1]].copy()
-    head = starts[:-1, None] + _BEFORE + np.arange(len(_HEAD_BYTES))
-    out[head] |= _HEAD_BYTES
-    rows = sizes // ROW
-    whole = out.tobytes()
-    files_out = []
-    for k in range(len(sizes)):
-        n, size = int(chunk[k]), int(files[k])
-        fixed = b"RIFF" + (size - 8).to_bytes(4, "little") + b"WEBPVP8L" + n.to_bytes(4, "little")
-        fixed += bytes([SIGNATURE]) + (ROW - 1 | int(rows[k] - 1) << 14).to_bytes(4, "little")
-        files_out.append(fixed + whole[starts[k] + _BEFORE : starts[k + 1]])
-    return files_out
-
-
-def _is_payload(file: bytes) -> bool:
-    """Whether a file's image bits begin with the payload header."""
-    full, rest = divmod(_HEADER.size, 8)
-    if file[12:16] != b"VP8L" or file[20] != SIGNATURE or int.from_bytes(file[21:25], "little") & 0x3FFF != ROW - 1:
-        return False
-    head = _HEAD_BYTES.tobytes()
-    return file[_BEFORE : _BEFORE + full] == head[:full] and not (rest and (file[_BEFORE + full] ^ head[full]) & ((1 << rest) - 1))
-
-
-#: Doublings of the jump table; between its jumps the chain is followed step by step.
-_DOUBLINGS = 6
-
-
-def _symbols(stream: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The symbols of several chains of codes in one byte stream, from their first bits on."""
-    n = len(stream)
-    padded = np.concatenate([stream, np.zeros(4, np.uint8)]).astype(np.uint32)
-    wide = padded[:n] | padded[1 : n + 1] << 8 | padded[2 : n + 2] << 16
-    window = ((wide[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << _CODE.width) - 1)).reshape(-1)
-    jump = np.arange(8 * n, dtype=np.int32) + _CODE.length[window]
-    np.minimum(jump, 8 * n - 1, out=jump)
-    jumps = [jump]
-    for _ in range(_DOUBLINGS):
-        jumps.append(jumps[-1][jumps[-1]])
-    step = 1 << _DOUBLINGS
-    # One column of places for each `step` symbols of a chain, all chains in step, longest first.
-    order = np.argsort(-counts, kind="stable")
-    hops = -(-counts[order] // step)
-    offsets = np.concatenate([[0], np.cumsum(-(-counts // step))])
-    anchors = np.zeros(offsets[-1], np.int32)
-    here = starts[order].astype(np.int32)
-    alive = len(order)
-    for k in range(int(hops[0]) if len(hops) else 0):
-        alive = int(np.searchsorted(-hops[:alive], -k, "left"))
-        anchors[offsets[order[:alive]] + k] = here[:alive]
-        here = jumps[-1][here[:alive]]
-    places = anchors[:, None]
-    for j in reversed(jumps[:-1]):
-        places = np.stack([places, j[places]], 2).reshape(len(anchors), -1)
-    flat = places.reshape(-1)
-    keep = ragged(offsets[:-1] * step, counts)
-    return _CODE.symbol[window[flat[keep]]].astype(np.uint8)
+    files = _files(data, at, [_GREY] * len(sizes), sizes // ROW)
+    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        # Few values show in the first row already.
+        if len(np.unique(data[a : a + ROW])) <= 16:
+            other = _with_palette(data[a:b])
+            if other is not None and len(other) < len(files[k]):
+                files[k] = other
+    return files
 
 
 def decode_payloads(files: list[bytes]) -> list[bytes]:
     """The payload rows (green samples) of each file."""
-    out: list[bytes | None] = [None] * len(files)
-    quick = [k for k, f in enumerate(files) if _is_payload(f)]
-    if quick:
-        sizes = np.array([len(files[k]) for k in quick])
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        counts = np.array([((int.from_bytes(files[k][21:25], "little") >> 14 & 0x3FFF) + 1) * ROW for k in quick])
-        got = _symbols(np.frombuffer(b"".join(files[k] for k in quick), np.uint8), 8 * (starts[:-1] + _BEFORE) + _HEADER.size, counts).tobytes()
-        ends = np.cumsum(counts)
-        for k, end, n in zip(quick, ends.tolist(), counts.tolist(), strict=True):
-            out[k] = got[end - n : end]
-    for k, f in enumerate(files):
-        if out[k] is None:
-            out[k] = decode(f)[:, :, 2].tobytes()
-    return out
+    return [p[:, :, 2].tobytes() for p in decode_many(files)]
