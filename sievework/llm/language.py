@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, folded, trim
+from .common import bounded_batches, folded, materialize, trim
 from .quality import held_out
 
 PROFILE, LONGEST = 300, 3
 #: About the most documents that a language's profile learns from.
 SAMPLE = 5_000
 UNKNOWN = "und"
+#: Languages whose counts are small enough to broadcast.
+FEW = 10_000
 #: n-grams that a task gathers before it passes on their counts.
 COUNTED = 500_000
 _letters: list[np.ndarray] = []
@@ -101,7 +103,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles from the documents with a lang that are not held out."""
     bounded_batches(docs.sparkSession)
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    amount = known.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n"))
+    amount = materialize(known.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n")), "languages")
+    # A row for each language: with few of them, as ever, the texts stay where they are.
+    amount = F.broadcast(amount) if amount.count() <= FEW else amount
     chosen = known.join(amount, F.col("lang") == F.col("__lang")).filter(F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 30)).cast("double") / (1 << 30) * F.col("__n") < sample)
 
     def run(batches):
