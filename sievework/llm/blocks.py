@@ -146,7 +146,7 @@ def answered(sent: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray],
         trim()
         return pa.table({"block_id": pa.array([r["block_id"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "answer": pa.array([zstandard.ZstdCompressor(1).compress(out[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
 
-    return materialize(sent.groupBy("bucket").applyInArrow(run, ANSWER_SCHEMA), label)
+    return materialize(sent.repartition(-(-buckets // 2), "bucket").groupBy("bucket").applyInArrow(run, ANSWER_SCHEMA), label)
 
 
 def with_answers(blocks: DataFrame, answers: list[DataFrame], f: Callable[..., pa.RecordBatch | pa.Table], schema, tasks: int) -> DataFrame:
@@ -166,5 +166,5 @@ def with_answers(blocks: DataFrame, answers: list[DataFrame], f: Callable[..., p
         trim()
         return out if isinstance(out, pa.Table) else pa.Table.from_batches([out])
 
-    own, theirs = (x.groupBy("block_id") for x in (blocks, everything))
+    own, theirs = (x.repartition(tasks, "block_id").groupBy("block_id") for x in (blocks, everything))
     return own.cogroup(theirs).applyInArrow(run, schema)
