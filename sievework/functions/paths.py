@@ -52,8 +52,8 @@ def _starts(c: Column, prefixes) -> Column:
 def categorised(files: DataFrame) -> DataFrame:
     """Files with name, ext and the category flags; skipped directories are left out at any depth.
 
-    Files over the size limit keep their row and lose their content for text detectors. Columns that files do not
-    have by their schema are left out, so that their names meet no detector's."""
+    All keep their content; `readable` takes it from text detectors where a file is over the size limit. Columns that
+    files do not have by their schema are left out, so that their names meet no detector's."""
     files = files.select(*[c for c in FILE_COLUMNS if c in files.columns])
     path, low = F.col("path"), F.lower(F.col("path"))
     files = files.filter(~_within(path, SKIPPED_DIRS)).withColumns({"name": F.lower(name(path)), "ext": extension(path)})
@@ -77,7 +77,12 @@ def categorised(files: DataFrame) -> DataFrame:
     )
     small = F.col("size") <= MAX_BYTES
     text = F.col("is_source") | F.col("is_config") | F.col("is_env") | e.isin(".md", ".txt", ".rst") | (~F.col("is_binary") & small)
-    return files.withColumns({"is_text": text, "oversize": ~small & ~e.isin(BINARY + MEDIA), "content": F.when(small, F.col("content"))})
+    return files.withColumns({"is_text": text, "oversize": ~small & ~e.isin(BINARY + MEDIA), "is_small": small})
+
+
+def readable(files: DataFrame) -> DataFrame:
+    """The files as text detectors see them: without the content of those over the size limit."""
+    return files.withColumn("content", F.when(F.col("is_small"), F.col("content")))
 
 
 def contexts(file: Column) -> dict[str, Column]:

@@ -195,7 +195,11 @@ def locked(files: DataFrame) -> DataFrame:
     rows = _root(files, "package-lock.json").withColumn("v", F.try_parse_json("content")).filter("v IS NOT NULL")
     rows = rows.withColumn("all", F.expr("coalesce(try_variant_get(v, '$.packages', 'variant'), try_variant_get(v, '$.dependencies', 'variant'))")).filter("all IS NOT NULL")
     x = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("all").outer()).select("key", "value"))
-    return x.select("repo_id", F.regexp_replace("key", r"^.*node_modules/", "").alias("name"), F.expr("try_variant_get(value, '$.version', 'string')").alias("version")).filter("name <> '' AND version IS NOT NULL")
+    # A package's own entry is that below node_modules, else the one of its bare name; copies inside other packages are none.
+    below = F.regexp_extract("key", r"^node_modules/((?:@[^/]+/)?[^/]+)$", 1)
+    bare = F.when(~F.col("key").startswith("node_modules/"), F.col("key"))
+    x = x.select("repo_id", F.when(below != "", below).otherwise(bare).alias("name"), (below != "").alias("own"), F.expr("try_variant_get(value, '$.version', 'string')").alias("version"))
+    return x.filter("name <> '' AND version IS NOT NULL").groupBy("repo_id", "name").agg(F.max_by("version", "own").alias("version"))
 
 
 def drifts(spec: Column, version: Column) -> Column:

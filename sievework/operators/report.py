@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -22,7 +22,7 @@ def _ordered(rows: DataFrame, *columns) -> DataFrame:
 
 def json_reports(findings: DataFrame, reports: DataFrame) -> DataFrame:
     """repo_id and report: the summary with kept and suppressed findings, as JSON."""
-    columns = ["severity", "category", "file", "line", "message", "snippet", "rule_id", "original_severity"]
+    columns = ["severity", "category", "file", "line", "message", "snippet", "rule_id", "cwe", "original_severity"]
     kept = _ordered(findings.filter("verified"), *columns).withColumnRenamed("items", "kept")
     gone = _ordered(findings.filter("NOT verified"), *columns, "suppression_source", "suppression_reason").withColumnsRenamed({"items": "gone", "__r": "__g"})
     rows = reports.join(kept, F.col("repo_id") == F.col("__r"), "left").join(gone, F.col("repo_id") == F.col("__g"), "left")
@@ -36,24 +36,31 @@ def sarif(findings: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
     for s, l in LEVELS.items():
         level = F.when(F.col("severity") == s, l).otherwise(level)
     rows = findings.filter("verified").withColumns({"level": level, "print": fingerprint(), "name": F.substring(text.strip(F.element_at(F.split("message", "—"), 1)), 1, 60)})
-    all_ = _ordered(rows, "rule_id", "level", "message", "snippet", "file", "line", "print", "name")
-    ids = F.array_distinct(F.transform("items", lambda x: x["rule_id"]))
-    rules = F.transform("ids", lambda i: F.filter("items", lambda x: x["rule_id"] == i)[0])
-    rules = F.transform(rules, lambda x: F.struct(x["rule_id"].alias("id"), x["name"].alias("name"), F.struct(x["message"].alias("text")).alias("shortDescription"), F.struct(x["level"].alias("level")).alias("defaultConfiguration")))
+    # A rule is told by its first finding; rules are numbered in the order of these, before findings are gathered.
+    place_ = F.struct("detector", "file_seq", "a", "b")
+    first = rows.groupBy("repo_id", "rule_id").agg(F.min(F.struct(place_.alias("place"), "name", "message", "level", "severity", "cwe")).alias("first"))
+    first = first.withColumn("nth", F.row_number().over(Window.partitionBy("repo_id").orderBy("first.place", "rule_id")) - 1)
+    told_of = F.when(F.col("first.cwe") != "", F.struct(F.array("first.cwe").alias("tags"), F.when(F.col("first.severity") == "CRITICAL", "9.0").when(F.col("first.severity") == "HIGH", "7.0").otherwise("4.0").alias("security-severity")))
+    help_ = F.when(F.col("first.cwe") != "", F.concat(F.lit("https://cwe.mitre.org/data/definitions/"), F.split("first.cwe", "-")[1], F.lit(".html")))
+    rule = F.struct(F.col("rule_id").alias("id"), F.col("first.name").alias("name"), F.struct(F.col("first.message").alias("text")).alias("shortDescription"), F.struct(F.col("first.level").alias("level")).alias("defaultConfiguration"), told_of.alias("properties"), help_.alias("helpUri"))
+    numbered = first.select(F.col("repo_id").alias("__o"), F.col("rule_id").alias("__i"), F.col("nth").cast("long").alias("nth"), rule.alias("rule"))
+    rules = numbered.groupBy("__o").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "rule"))), lambda x: x["rule"]).alias("rules"))
+    rows = rows.join(numbered.select("__o", "__i", "nth"), (F.col("repo_id") == F.col("__o")) & (F.col("rule_id") == F.col("__i")))
+    all_ = _ordered(rows, "rule_id", "nth", "level", "message", "snippet", "file", "line", "print").join(rules, F.col("__r") == F.col("__o"))
     place = lambda x: F.struct(F.struct(F.struct(x["file"].alias("uri")).alias("artifactLocation"), F.struct(F.greatest(x["line"], F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
     results = F.transform(
         "items",
         lambda x: F.struct(
-            x["rule_id"].alias("ruleId"), (F.array_position("ids", x["rule_id"]) - 1).alias("ruleIndex"), x["level"].alias("level"), F.struct(F.concat(x["message"], F.when(x["snippet"] != "", F.concat(F.lit(" | "), x["snippet"])).otherwise("")).alias("text")).alias("message"),
+            x["rule_id"].alias("ruleId"), x["nth"].alias("ruleIndex"), x["level"].alias("level"), F.struct(F.concat(x["message"], F.when(x["snippet"] != "", F.concat(F.lit(" | "), x["snippet"])).otherwise("")).alias("text")).alias("message"),
             F.struct(x["print"].alias(f"{ENGINE}/v1")).alias("fingerprints"), F.filter(F.array(place(x)), lambda _: x["file"] != "").alias("locations"),
         ),
     )
-    rows = all_.withColumn("ids", ids)
+    rows = all_
     if warnings is not None:
         told = warnings.groupBy(F.col("repo_id").alias("__w")).agg(F.array_sort(F.collect_list(F.struct(F.lit("warning").alias("level"), F.struct("text").alias("message")))).alias("told"))
         rows = rows.join(told, F.col("__r") == F.col("__w"), "left")
     notes = F.coalesce("told", F.array()) if warnings is not None else F.array()
-    run = F.struct(F.struct(F.struct(F.lit(ENGINE).alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), results.alias("results"), F.array(F.struct(F.lit(True).alias("executionSuccessful"), notes.alias("toolExecutionNotifications"))).alias("invocations"))
+    run = F.struct(F.struct(F.struct(F.lit(ENGINE).alias("name"), F.col("rules").alias("rules")).alias("driver")).alias("tool"), results.alias("results"), F.array(F.struct(F.lit(True).alias("executionSuccessful"), notes.alias("toolExecutionNotifications"))).alias("invocations"))
     return rows.select(F.col("__r").alias("repo_id"), F.to_json(F.struct(F.lit(SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 

@@ -24,7 +24,7 @@ VERDICTS = {"A": "INSTALL", "B": "INSTALL", "C": "REVIEW BEFORE INSTALLING", "D"
 
 def structure(files: DataFrame) -> DataFrame:
     """A row for each repository: files, lines of source, sizes, languages, entry points and flags."""
-    c = F.col("content")
+    c = F.when(F.col("is_small"), F.col("content"))
     lines = text.newlines(c) + F.when((c != "") & ~c.endswith("\n"), 1).otherwise(0)
     pairs = [F.lit(x) for kv in paths.LANGUAGE_NAMES.items() for x in kv]
     language = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("ext")), F.col("ext"))
@@ -39,6 +39,9 @@ def structure(files: DataFrame) -> DataFrame:
 
 def coverage_gaps(files: DataFrame) -> DataFrame:
     """What the scan did not look at: files over the size limit, and long lines of source."""
+    from ..functions.paths import readable
+
+    files = readable(files)
     big = files.filter("oversize").select("repo_id", "path", F.lit("file_exceeds_500KB").alias("reason"), F.col("size").alias("n"))
     long = files.filter(F.col("is_source") & F.col("content").isNotNull()).withColumn("n", F.size(F.filter(F.split("content", "\n"), lambda x: F.length(x) > text.LONG_LINE)).cast("long")).filter("n > 0")
     return big.unionByName(long.select("repo_id", "path", F.concat(F.col("n").cast("string"), F.lit("_lines_exceed_2000_chars")).alias("reason"), "n")).dropDuplicates(["repo_id", "path", "reason"])
@@ -107,8 +110,12 @@ def drivers(findings: DataFrame) -> DataFrame:
     """What drove the grade: serious findings by category, the largest first, with two of their messages."""
     head = F.substring(text.strip(F.element_at(F.split("message", "—"), 1)), 1, 50)
     rows = findings.filter(F.col("verified") & F.col("severity").isin("CRITICAL", "HIGH"))
-    first = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("detector", "file_seq", "a", "b", head.alias("head")))), lambda x: x["head"])), 1, 2)
-    out = rows.groupBy("repo_id", "category").agg(F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"), first.alias("heads"))
+    place = F.struct("detector", "file_seq", "a", "b")
+    # Of each category the first two heads, from the first place of each distinct one.
+    heads = rows.groupBy("repo_id", "category", head.alias("head")).agg(F.min(place).alias("place"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"))
+    heads = heads.withColumn("at", F.row_number().over(Window.partitionBy("repo_id", "category").orderBy("place")))
+    shown = F.array_compact(F.array(*[F.max(F.when(F.col("at") == k, F.col("head"))) for k in (1, 2)]))
+    out = heads.groupBy("repo_id", "category").agg(F.sum("critical").alias("critical"), F.sum("high").alias("high"), shown.alias("heads"))
     return out.withColumn("nth", F.row_number().over(Window.partitionBy("repo_id").orderBy((F.col("critical") + F.col("high")).desc(), "category")))
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.paths import categorised
+from ..functions.cwe import with_weakness
+from ..functions.paths import categorised, readable
 from ..functions.rules import Rule
 from ..operators import configs, detect, score, verify
 from ..operators.python_code import python_code
@@ -81,23 +83,25 @@ def gaps(files: DataFrame, kept: DataFrame, config: Config, changed: DataFrame |
     return out.unionByName(left.select("repo_id", F.lit("").alias("path"), F.lit("file_limit_reached").alias("reason"), "n"))
 
 
-def raw_findings(files: DataFrame, config: Config = Config(), commits: DataFrame | None = None, advisories: DataFrame | None = None) -> DataFrame:
-    """Findings of all detectors over categorised files."""
+def raw_parts(files: DataFrame, config: Config = Config(), commits: DataFrame | None = None, advisories: DataFrame | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """What makes the findings of each detector over categorised files; text detectors do not see the content of files over the size limit."""
     custom = [(Rule(1000 + k, severity, category, message, regex), tuple(ext)) for k, (regex, category, severity, message, ext) in enumerate(config.custom)]
-    parts = []
-    for name in config.detectors:
-        if name == "signatures" and not config.signatures:
-            continue
-        f = detect.ALL[name]
-        parts.append(f(files, config.trusted, custom) if name == "code" else f(files, config.trusted) if name in ("prompts", "evasion") else f(files))
-    parts.append(python_code(files, config.trusted, config.taint))
-    parts.append(configs.mcp_config(files))
+    whole, files = files, readable(files)
+    more = {"code": (config.trusted, custom), "prompts": (config.trusted,), "evasion": (config.trusted,)}
+    parts = {name: partial(detect.ALL[name], whole if name == "signatures" else files, *more.get(name, ())) for name in config.detectors if config.signatures or name != "signatures"}
+    parts["python"] = partial(python_code, files, config.trusted, config.taint)
+    parts["mcp_config"] = partial(configs.mcp_config, whole)
     if config.dependencies:
-        parts.append(configs.dependencies(files, advisories))
-    parts.append(configs.licences(files))
+        parts["dependencies"] = partial(configs.dependencies, whole, advisories)
+    parts["licences"] = partial(configs.licences, whole)
     if commits is not None:
-        parts.append(detect.history(commits))
-    return reduce(DataFrame.unionByName, parts)
+        parts["history"] = partial(detect.history, commits)
+    return parts
+
+
+def raw_findings(files: DataFrame, config: Config = Config(), commits: DataFrame | None = None, advisories: DataFrame | None = None) -> DataFrame:
+    """Findings of all detectors, as one lazy table."""
+    return with_weakness(reduce(DataFrame.unionByName, [make() for make in raw_parts(files, config, commits, advisories).values()]))
 
 
 def scan(files: DataFrame, config: Config = Config(), changed: DataFrame | None = None, commits: DataFrame | None = None, advisories: DataFrame | None = None, baseline: DataFrame | None = None) -> Scan:

@@ -10,15 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import paths, rules, text
-from .functions.paths import categorised
+from .functions import catalogue, paths, rules, text
+from .functions.cwe import with_weakness
+from .functions.paths import categorised, readable
 from .functions.rules import Rule
 from .operators import configs, describe, detect, report, score, verify
 from .operators.python_code import python_code
-from .plans.scan import scan
+from .plans.scan import Config, raw_parts
 from .sources import tree
 from .sources.planted import FILES_SQL, planted
-from .sources.stored import stored
+from .sources.stored import stored, written
 from .streaming.incremental import windowed_events
 
 COLUMNS = ("repo_id", "file", "line", "severity", "category", "message", "snippet")
@@ -37,8 +38,13 @@ def plain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, f"files {sf_dir}", lambda: planted(table(spark, sf_dir, "documents")))
 
 
-def _detector(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(corpus(spark, sf_dir)).select(*COLUMNS)
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as text detectors see it."""
+    return readable(corpus(spark, sf_dir))
+
+
+def _detector(f: Callable[[DataFrame], DataFrame], files: Callable[[SparkSession, str], DataFrame] = texts) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(files(spark, sf_dir)).select(*COLUMNS)
 
 
 # --- SQL of the other engine -----------------------------------------------------------------------------------
@@ -81,7 +87,7 @@ def among(values) -> str:
 
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 NAME = "lower(string_split(path, '/')[-1])"
-FILES = f"files0 AS ({FILES_SQL}), files AS (SELECT *, {NAME} AS name, lower(regexp_extract({NAME}, '^.+(\\.[^.]+)$', 1)) AS ext FROM files0)"
+FILES = f"files0 AS ({FILES_SQL}), files AS (SELECT repo_id, file_seq, path, content AS whole, CASE WHEN strlen(content) <= {paths.MAX_BYTES} THEN content END AS content, {NAME} AS name, lower(regexp_extract({NAME}, '^.+(\\.[^.]+)$', 1)) AS ext FROM files0)"
 LINES = "lines AS (SELECT *, string_split(content, chr(10)) AS parts FROM files WHERE {where}), l AS (SELECT * EXCLUDE (parts), unnest(parts) AS line, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_no FROM lines)"
 NEWLINES = "(length({0}) - length(replace({0}, chr(10), '')))"
 SHOWN = "repo_id, path AS file, line_no AS line, severity, category, message, snippet"
@@ -131,12 +137,12 @@ URLS_SQL = content_sql(f"({IS_SOURCE} OR {IS_CONFIG})", values(URL_RULE), "left(
 
 
 def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.code(corpus(spark, sf_dir)).select(*COLUMNS)
+    return detect.code(texts(spark, sf_dir)).select(*COLUMNS)
 
 
 def code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of the language rules, written once for the queries that go on from them."""
-    return stored(spark, f"code {sf_dir}", lambda: detect.code(corpus(spark, sf_dir)))
+    return stored(spark, f"code {sf_dir}", lambda: detect.code(texts(spark, sf_dir)))
 
 
 def rule_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +179,7 @@ def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STRUCTURE_SQL = f"""WITH {FILES}
-SELECT repo_id, count(*) AS total_files, CAST(sum(strlen(content)) AS BIGINT) AS total_size_bytes, count(*) FILTER ({IS_SOURCE}) AS source_files, count(*) FILTER ({IS_CONFIG}) AS config_files, count(*) FILTER (ext IN {among(paths.BINARY)}) AS binary_count,
+SELECT repo_id, count(*) AS total_files, CAST(sum(strlen(whole)) AS BIGINT) AS total_size_bytes, count(*) FILTER ({IS_SOURCE}) AS source_files, count(*) FILTER ({IS_CONFIG}) AS config_files, count(*) FILTER (ext IN {among(paths.BINARY)}) AS binary_count,
 CAST(coalesce(sum({NEWLINES.format("content")} + CASE WHEN content <> '' AND right(content, 1) <> chr(10) THEN 1 ELSE 0 END) FILTER ({IS_SOURCE}), 0) AS BIGINT) AS total_lines,
 bool_or(name = 'dockerfile') AS has_dockerfile, bool_or({IS_CI}) AS has_ci, bool_or(name = 'skill.md') AS has_skill_md FROM files GROUP BY repo_id"""
 
@@ -230,7 +236,7 @@ def entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("doc_id", F.when(F.col("t") > 0, F.round(F.greatest(F.lit(0.0), F.log2("t") - F.col("s") / F.col("t")), 6)).otherwise(0.0).alias("entropy"))
 
 
-ENTROPIES_SQL = """WITH c AS (SELECT doc_id, unnest(string_split(left(text, 60), '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS t FROM n GROUP BY doc_id),
+ENTROPIES_SQL = """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS t FROM n GROUP BY doc_id),
 e AS (SELECT doc_id, round(-sum(n / t * log2(n / t)), 6) AS e FROM n JOIN t USING (doc_id) GROUP BY doc_id) SELECT doc_id, coalesce(e, 0.0) + 0.0 AS entropy FROM documents LEFT JOIN e USING (doc_id)"""
 
 
@@ -246,7 +252,7 @@ count(*) FILTER (path LIKE '.github/%') AS infra, count(*) FILTER (path LIKE 're
 
 
 def capability_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.manifest(detect.capabilities(corpus(spark, sf_dir))).select("repo_id", "capability", "severity", F.size("files").alias("files"))
+    return report.manifest(detect.capabilities(texts(spark, sf_dir))).select("repo_id", "capability", "severity", F.size("files").alias("files"))
 
 
 CAPABILITY_SQL = f"""WITH {FILES}, k(capability, severity, regex) AS (VALUES {", ".join(f"({q(n)}, {q(r.severity)}, {q(re2(r.regex))})" for n, r in zip(rules.CAPABILITY_NAMES, rules.CAPABILITIES, strict=True))}),
@@ -296,21 +302,13 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.coverage_gaps(corpus(spark, sf_dir))
 
 
-GAPS_SQL = f"WITH {FILES}, g AS (SELECT repo_id, path, len(list_filter(string_split(content, chr(10)), lambda x: length(x) > 2000)) AS n FROM files WHERE {IS_SOURCE}) SELECT repo_id, path, n || '_lines_exceed_2000_chars' AS reason, CAST(n AS BIGINT) AS n FROM g WHERE n > 0"
+GAPS_SQL = f"WITH {FILES}, big AS (SELECT repo_id, path, 'file_exceeds_500KB' AS reason, strlen(whole) AS n FROM files WHERE content IS NULL AND ext NOT IN {among(paths.BINARY + paths.MEDIA)}), g AS (SELECT repo_id, path, len(list_filter(string_split(content, chr(10)), lambda x: length(x) > 2000)) AS n FROM files WHERE {IS_SOURCE}) SELECT repo_id, path, n || '_lines_exceed_2000_chars' AS reason, CAST(n AS BIGINT) AS n FROM g WHERE n > 0 UNION ALL SELECT repo_id, path, reason, CAST(n AS BIGINT) FROM big"
 
 
 def full_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of all detectors, written once for the full scan and the reports."""
-    scans = []
-
-    def make() -> DataFrame:
-        scans.append(scan(plain_files(spark, sf_dir)))
-        return scans[0].findings
-
-    out = stored(spark, f"findings {sf_dir}", make)
-    for s in scans:
-        s.files.unpersist()
-    return out
+    # One job for each detector: together they would make a plan that takes longer to optimise than to run.
+    return stored(spark, f"findings {sf_dir}", lambda: verify.verified(with_weakness(written(raw_parts(corpus(spark, sf_dir), Config()), spark))))
 
 
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,6 +333,43 @@ _ENV_SQL = f"WITH {FILES} SELECT repo_id, path AS file, 0 AS line, 'HIGH' AS sev
 _BIN_SQL = f"WITH {FILES} SELECT repo_id, path AS file, 0 AS line, 'HIGH' AS severity, 'OBFUSCATION' AS category, 'Pre-compiled binary (' || ext || ') — cannot audit' AS message, '' AS snippet FROM files WHERE ext = '.exe'"
 _USER_SQL = f"WITH {FILES} SELECT repo_id, path AS file, 0 AS line, 'MEDIUM' AS severity, 'PERMISSION' AS category, 'Dockerfile has no USER directive — container runs as root by default' AS message, '' AS snippet FROM files WHERE name = 'dockerfile' AND NOT regexp_matches(content, '(?m)^\\s*USER\\s+')"
 _INJECTION = [r for r in rules.TEXT_INJECTION]
+_ROW = "SELECT repo_id, {file} AS file, {line} AS line, {severity} AS severity, {category} AS category, {message} AS message, {snippet} AS snippet"
+
+
+def _row(severity: str, category: str, message: str, file: str = "path", line: str = "0", snippet: str = "''") -> str:
+    return _ROW.format(file=file, line=line, severity=severity, category=category, message=message, snippet=snippet)
+
+
+_HARD = [Rule(r.order, "HIGH", "EXECUTION", f"In setup.py: {r.message}", r.regex) for r in rules.LANGUAGES["python"][1] if r.severity in ("CRITICAL", "HIGH")]
+SETUP_SQL = f"""SELECT * FROM ({line_sql("path = 'setup.py'", values(_HARD), "true", "s LIKE '#%'")})
+UNION ALL SELECT * FROM (WITH {FILES} {_row("'HIGH'", "'EXECUTION'", "'setup.py has cmdclass overrides — custom code runs on pip install'")} FROM files WHERE path = 'setup.py' AND content LIKE '%cmdclass={{%')
+UNION ALL SELECT * FROM (WITH {FILES} {_row("'LOW'", "'EXECUTION'", "'setup.cfg defines entry_points — custom code runs on pip install'")} FROM files WHERE path = 'setup.cfg' AND regexp_matches(content, 'entry_points|console_scripts'))"""
+LICENCE_SQL = f"""WITH {FILES}, has AS (SELECT repo_id, bool_or(path = 'LICENSE') AS one FROM files GROUP BY repo_id)
+{_row("'MEDIUM'", "'LICENSE'", "'No license file found — usage rights unclear'", "''")} FROM has WHERE NOT one
+UNION ALL {_row("'MEDIUM'", "'LICENSE'", "'AGPL license — requires source disclosure for network use'")} FROM files WHERE path = 'LICENSE' AND regexp_matches(upper(left(whole, 2000)), 'AGPL|AFFERO')"""
+_GH = [Rule(1, "CRITICAL", "INJECTION", "GitHub Actions: gh pr checkout with expression — TOCTOU race condition", r"gh\s+pr\s+checkout\s+\$\{\{"), Rule(2, "HIGH", "SECRET", "GitHub Actions: secret variable echoed to build log", r"(?i)echo\s+.*\$(?:PRIVATE_KEY|SECRET|TOKEN|PASSWORD|API_KEY|CREDENTIAL|AUTH)")]
+WORKFLOW_FILES_SQL = f"""SELECT * FROM ({line_sql(IS_CI, values(_GH))})
+UNION ALL SELECT * FROM (WITH {FILES}, c AS (SELECT *, string_split(content, chr(10)) AS parts FROM files WHERE {IS_CI} AND content LIKE '%pull_request_target%' AND content LIKE '%ref: ${{{{ github.event.pull_request.head.ref }}}}%'),
+n AS (SELECT *, CAST(list_position(list_transform(parts, lambda x: x LIKE '%uses: actions/checkout%'), true) AS INTEGER) AS line_no FROM c)
+{_row("'CRITICAL'", "'INJECTION'", "'GitHub Actions: pull_request_target + checkout without SHA pin — attacker code runs with write access'", line="line_no", snippet="left(" + STRIP.format("parts[line_no]") + ", 120)")} FROM n WHERE line_no > 0)"""
+#: Signatures by hand: name, severity, what it says, and a condition on c (the text) and low (in lower case).
+_SIGNATURES = (
+    ("PHP_Webshell", "CRITICAL", "PHP webshell: executes attacker-supplied request data", r"regexp_matches(c, '\b(eval|assert)\s*\(\s*\$_(POST|GET|REQUEST|COOKIE)|\b(system|shell_exec|passthru|exec|popen|proc_open)\s*\(\s*\$_(POST|GET|REQUEST)|base64_decode\s*\(\s*\$_(POST|GET|REQUEST)')"),
+    ("Reverse_Shell", "CRITICAL", "Reverse shell one-liner (bash/nc/python)", r"((contains(c, '/dev/tcp/') AND regexp_matches(c, 'bash\s+-i\b')) OR regexp_matches(c, '\bnc(at)?\b[^\n]{0,40}-e\b') OR (contains(c, 'socket.socket') AND (contains(c, 'pty.spawn') OR contains(c, 'os.dup2'))))"),
+    ("Cryptominer", "HIGH", "Cryptocurrency miner config or reference", r"regexp_matches(low, 'stratum\+tcp://|xmrig|coinhive|minergate|pool\.(minexmr|supportxmr|nanopool)\.')"),
+    ("PowerShell_Downloader", "HIGH", "PowerShell download-and-execute / encoded command", r"((regexp_matches(low, 'iex|invoke-expression') AND regexp_matches(low, 'downloadstring|downloadfile|net\.webclient|frombase64string')) OR regexp_matches(low, '-enc(odedcommand)?\s+[a-z0-9+/=]{40}'))"),
+    ("Python_Exec_Dropper", "CRITICAL", "Python remote code dropper: exec of fetched/decoded content", r"regexp_matches(c, 'exec\s*\(\s*(requests\.get|urllib\.request\.urlopen|urlopen)\s*\(|exec\s*\(\s*base64\.b64decode|eval\s*\(\s*(requests\.get|urlopen)\s*\(')"),
+    ("Embedded_PE_Base64", "HIGH", "Base64-encoded Windows PE executable embedded in source", r"regexp_matches(c, 'TVqQAAMAAAAEAAAA|TVpQAAIAAAAEAA|TVqAAAEAAAAEABAA')"),
+)
+SIGNATURES_SQL = f"WITH {FILES}, t AS (SELECT *, whole AS c, lower(whole) AS low FROM files) " + " UNION ALL ".join(_row(q(s), "'SIGNATURE'", q(f"YARA signature: {m} [{n}]")) + f" FROM t WHERE {cond}" for n, s, m, cond in _SIGNATURES)
+_ASSIGN = r"'^(\w+)\s*=\s*[''" + r'"' + r"](\w{1,8})[''" + r'"' + r"]'"
+_JOINED = "'Variable concat assembles dangerous function: ''' || word || ''' (' || v1 || '+' || v2 || ')'"
+ASSEMBLY_SQL = f"""WITH {FILES}, {LINES.format(where="ext = '.py' AND content LIKE '%+%'")}, s AS (SELECT *, {STRIP.format("line")} AS s FROM l), t AS (SELECT * FROM s WHERE NOT {_comment()}),
+a AS (SELECT repo_id, file_seq, regexp_extract(s, {_ASSIGN}, 1) AS v, regexp_extract(s, {_ASSIGN}, 2) AS t, line_no FROM t WHERE regexp_matches(s, {_ASSIGN})),
+b AS (SELECT repo_id, file_seq, v, max_by(t, line_no) AS t FROM a GROUP BY ALL),
+p AS (SELECT x.repo_id AS r, x.file_seq AS f, x.v AS v1, y.v AS v2, x.t || y.t AS word FROM b x JOIN b y ON x.repo_id = y.repo_id AND x.file_seq = y.file_seq AND x.v <> y.v AND lower(x.t || y.t) IN {among(catalogue.DANGER_WORDS)})
+{_row("'CRITICAL'", "'OBFUSCATION'", _JOINED, line="line_no", snippet="left(s, 120)")} FROM t JOIN p ON repo_id = r AND file_seq = f AND regexp_matches(line, '\\b' || v1 || '\\s*\\+\\s*' || v2 || '\\b')"""
+MULTI_LINE_SQL = " UNION ALL ".join(f"SELECT * FROM ({content_sql(f'ext IN {among(e)}', values([r]), 'replace(hit, chr(10), chr(32))')})" for r, e in detect.MULTI_LINE)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "code_findings": code_findings,
@@ -363,11 +398,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evasion_findings": _detector(detect.evasion),
     "variable_assembly": _detector(detect.assembly),
     "aliased_imports": _detector(detect.aliases),
-    "signature_findings": _detector(detect.signatures),
+    "signature_findings": _detector(detect.signatures, corpus),
     "python_trees": _detector(python_code),
-    "server_configs": _detector(configs.mcp_config),
-    "dependency_findings": _detector(configs.dependencies),
-    "licence_findings": _detector(configs.licences),
+    "server_configs": _detector(configs.mcp_config, corpus),
+    "dependency_findings": _detector(configs.dependencies, corpus),
+    "licence_findings": _detector(configs.licences, corpus),
     "finding_repeats": repeats,
     "repository_structure": structure,
     "score_grades": scores,
@@ -388,6 +423,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 _PROMPT = ", ".join(f"('', {r.order}, {q(r.severity)}, {q(r.category)}, {q(r.message)}, {q(r.regex)})" for r in rules.PROMPT_STRINGS)
 ORACLES: dict[str, str] = {
+    "setup_findings": SETUP_SQL,
+    "licence_findings": LICENCE_SQL,
+    "workflow_patterns": WORKFLOW_FILES_SQL,
+    "signature_findings": SIGNATURES_SQL,
+    "variable_assembly": ASSEMBLY_SQL,
+    "multi_line_findings": MULTI_LINE_SQL,
     "code_findings": f"WITH x AS ({CODE_SQL}) SELECT {', '.join(COLUMNS)} FROM x",
     "rule_ids": RULE_IDS_SQL,
     "environment_files": _ENV_SQL,

@@ -6,8 +6,10 @@ import pytest
 
 from sievework.functions.paths import categorised
 from sievework.operators import configs, detect
-from sievework.operators.python_code import analysed
+from sievework.operators.python_code import analysed, python_code
+from sievework.operators.report import sarif
 from sievework.plans.scan import Config, gaps, scan, selected
+from sievework.sources.planted import planted
 
 SECRET = "AK" + "IA" + "QWERTYUIOPASDFGH"
 
@@ -75,6 +77,71 @@ def test_server_config_at_any_depth(spark):
     assert got == {"Schema poisoning in 'a' at a.tools[0].inputSchema" + far * 2 + ".description", "Schema poisoning in 'b' at b" + far * 60 + "[0].description", "Schema poisoning in 'c' at c" + far * 60 + ".x"}
 
 
+def test_large_files_are_kept_from_text_detectors_only(spark):
+    fill = "# " + "z" * 70 + "\n"
+    big = fill * 9000
+    miner = "stratum" + "+tcp://pool.example.net"
+    lock = json.dumps({"packages": {"node_modules/left": {"version": "0.3.1"}, **{f"node_modules/p{k}": {"version": "1.0.0"} for k in range(20_000)}}})
+    texts = {"a.py": "eval(x)\n" + big + miner, "b.py": fill * 40_000 + miner, "package.json": json.dumps({"dependencies": {"left": "^0.2.3"}}), "package-lock.json": lock, "LICENSE": "GNU AFFERO " + big}
+    assert len(lock) > 500_000 and len(texts["b.py"]) > 2_000_000
+    s = scan(files(spark, texts), Config(detectors=("code", "signatures"), taint=False))
+    got = {(r.file, r.message) for r in s.findings.collect()}
+    assert ("a.py", "YARA signature: Cryptocurrency miner config or reference [Cryptominer]") in got and not any(m.startswith("eval") for _, m in got)
+    assert not any(f == "b.py" for f, _ in got), "beyond two million bytes"
+    assert ("package-lock.json", "Lockfile drift: left declared ^0.2.3 but locked at 0.3.1") in got and ("LICENSE", "AGPL license — requires source disclosure for network use") in got
+    s.files.unpersist()
+
+
+def test_lockfile_copies_inside_other_packages_are_none(spark):
+    package = json.dumps({"dependencies": {"left": "^1.2.0", "@s/x": "~1.0.0", "old": "^2.0.0"}})
+    lock = json.dumps({"packages": {"node_modules/left": {"version": "1.3.0"}, "node_modules/a/node_modules/left": {"version": "0.1.0"}, "node_modules/@s/x": {"version": "1.1.0"}, "old": {"version": "3.0.0"}}})
+    kept = categorised(files(spark, {"package.json": package, "package-lock.json": lock}))
+    assert {m for *_, m in found(configs.dependencies(kept)) if m.startswith("Lockfile")} == {"Lockfile drift: @s/x declared ~1.0.0 but locked at 1.1.0", "Lockfile drift: old declared ^2.0.0 but locked at 3.0.0"}
+
+
+def test_custom_rules_hold_for_their_extensions(spark):
+    rule = [(detect.Rule(1000, "HIGH", "CUSTOM", "found", r"needle"), (".ts",))]
+    kept = categorised(files(spark, {"a.js": "needle", "b.ts": "needle", "c.py": "needle"}))
+    assert {(f, m) for f, _, _, m in found(detect.code(kept, True, rule))} == {("b.ts", "found")}
+
+
+def test_weaknesses_reach_the_reports(spark):
+    kept = {"a.py": "import sys\neval(x)\nopen(sys.argv[1])\n", "LICENSE": "MIT"}
+    s = scan(files(spark, kept), Config(detectors=("code",), dependencies=False))
+    got = {(r.line, r.category, r.cwe) for r in s.findings.collect()}
+    assert (2, "EXECUTION", "CWE-95") in got and (3, "TAINT", "CWE-22") in got
+    run = json.loads(sarif(s.findings).first().sarif)["runs"][0]
+    by = {r["id"]: r for r in run["tool"]["driver"]["rules"]}
+    assert [run["tool"]["driver"]["rules"][r["ruleIndex"]]["id"] == r["ruleId"] for r in run["results"]].count(False) == 0
+    one = next(r for k, r in by.items() if k.startswith("SW-EXE-eval"))
+    assert one["properties"]["tags"] == ["CWE-95"] and one["helpUri"].endswith("/95.html")
+    s.files.unpersist()
+
+
+def test_trees_of_the_planted_corpus(spark, sf):
+    """What the syntax trees of the planted texts show, by hand: doc_id modulo, line's text, severity, start of the message."""
+    want = [
+        (3, 0, "x = eval(data)", "HIGH", "eval()"),
+        (4, 1, "subprocess.run(cmd, shell=True)", "CRITICAL", "subprocess with shell=True"),
+        (5, 2, "os.system(cmd)", "HIGH", "os.system()"),
+        (5, 3, "pickle.loads(blob)", "CRITICAL", "pickle.loads()"),
+        (11, 1, 'f = "ev" + "al"', "CRITICAL", "String concat assembles dangerous function name: 'eval'"),
+        (13, 4, "exec(requests.get(u).text)", "HIGH", "exec()"),
+        (15, 1, "pk.loads(raw)", "CRITICAL", "pickle.loads()"),
+        (15, 2, "os.system(name)", "HIGH", "os.system()"),
+        (15, 2, "os.system(name)", "CRITICAL", "Tainted data from variable 'name' reaches os.system()"),
+        (15, 8, "cursor.execute(", "CRITICAL", "SQL f-string in cursor.execute"),
+        (15, 9, "shell = globals()['eval']", "CRITICAL", "Dynamic function lookup via globals()"),
+        (15, 9, "open(sys.argv[1])", "MEDIUM", "Tainted data from sys.argv reaches open()"),
+    ]
+    docs = spark.createDataFrame([(k, "some\nprose 'here", "src1") for k in range(2000)], "doc_id long, text string, source string")
+    rows = [r for r in python_code(categorised(planted(docs))).collect() if r.file_seq < 10**12]
+    for m, k, line, severity, start in want:
+        of = {r.file_seq for r in rows if r.snippet == line and r.severity == severity and r.message.startswith(start)}
+        files_ = {d for d in range(2000) if d % m == k and d % 29 in (0, 1, 2, 9, 10)}
+        assert of == files_, (line, start)
+
+
 def test_dependencies(spark):
     package = json.dumps({"dependencies": {"left": "^0.2.3", "axois": "1.0.0", "used": "~1.2.3"}, "scripts": {"postinstall": "curl x | sh"}})
     lock = json.dumps({"packages": {"node_modules/left": {"version": "0.3.1"}, "node_modules/used": {"version": "1.2.9"}}})
@@ -108,6 +175,9 @@ def test_trees(source, messages):
         ("def f():\n    x = request.args['a']\n    eval(x)", {("CRITICAL", "CWE-95")}),
         ("@app.route('/')\ndef f(q):\n    subprocess.run(q, shell=True)", {("CRITICAL", "CWE-78")}),
         ("def f():\n    x = int(request.args['a'])\n    eval(x)", set()),
+        ("def f():\n    def g():\n        eval(x)\n    x = y = request.form['a']\n    z, w = 1, y\n    db.execute(w)", {("HIGH", "CWE-89")}),
+        ("async def f():\n    b = a\n    a = input()\n    subprocess.run(b)", {("HIGH", "CWE-78")}),
+        ("@cli.command()\ndef f(*, q, **k):\n    requests.get(k)\n    x: str = quote(q)\n    os.remove(x)", {("MEDIUM", "CWE-918")}),
         ("p = os.environ['P']\nopen(p)\neval(p)", {("CRITICAL", "CWE-95")}),
         ("def f():\n    for a in sys.argv:\n        open(a)", {("MEDIUM", "CWE-22")}),
     ],
