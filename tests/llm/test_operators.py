@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -279,6 +279,73 @@ def test_language(spark, sf):
     assert {r.lang_pred for r in language.predict(odd, language.learn(odd)).collect()} == {"und"}
 
 
+def test_discriminant_against_formulas():
+    """Scores from dense covariances, determinants and inverses instead of cached Cholesky factors."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(0, 1, (80, 4)) @ rng.normal(0, 1, (4, 4)), rng.normal(1, 2, (30, 4))])
+    y = np.repeat([0, 1], [80, 30])
+    model = quality.Discriminant.fit(x, y)
+    z = (x - x.mean(0)) / x.std(0)
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = (80 * own[0] + 30 * own[1]) / 110
+    log = []
+    for k, n in ((0, 80), (1, 30)):
+        share = n / (n + 4)
+        c = (1 - quality.TO_POOLED) * (share * own[k] + (1 - share) * pooled) + quality.TO_POOLED * pooled
+        c = (1 - quality.TO_DIAGONAL) * c + quality.TO_DIAGONAL * np.diag(np.diag(c)) + 1e-3 * np.eye(4)
+        d = z - z[y == k].mean(0)
+        log.append(np.log(n / 110) - 0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) + np.log(np.linalg.det(c))))
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(log[0] - log[1])))
+
+
+def area(scores, labels):
+    """The share of pairs of unlike labels that the scores order rightly."""
+    good, bad = [s for s, y in zip(scores, labels) if y], [s for s, y in zip(scores, labels) if not y]
+    return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_quality_of_held_out_labels(spark):
+    at = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.scores(docs, quality.fit(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
+    assert area([r.score for r in rows], [r.quality for r in rows]) > 0.75
+    again = docs.unionByName(docs).unionByName(docs.limit(0))
+    assert quality.fit(again, labels).means.tolist() == quality.fit(docs, labels).means.tolist()
+    assert quality.scores(docs.limit(0), None).count() == 0
+
+
+def test_language_against_brute_force(spark):
+    """Profiles and out-of-place distances by counting in plain Python."""
+    rng = random.Random(12)
+    alphabets = {"aa": "abcdefg ", "bb": "efghijk ", "cc": "ёжзийкл "}
+    rows = [(k, "".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(1, 200))) + rng.choice(["", " 12-3", "É"]), lang) for k in range(150) for lang in [rng.choice(sorted(alphabets))]]
+    rows += [(200, "abc ABC", None), (201, "77", "aa"), (202, "efg", "bb"), (203, "efg", "bb")]
+
+    def grams(text):
+        out = Counter()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f" {word} "
+            out.update(g for n in (1, 2, 3) for a in range(len(padded) - n + 1) if (g := padded[a : a + n]).strip())
+        return out
+
+    def ranked(counts):
+        number = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(g))
+        return sorted(counts, key=lambda g: (-counts[g], number(g)))[: language.PROFILE]
+
+    profiles = {}
+    for k, text, lang in rows:
+        if lang and zlib.crc32(str(k).encode()) % 5:
+            profiles.setdefault(lang, Counter()).update(grams(text))
+    profiles = {lang: {g: r for r, g in enumerate(ranked(c))} for lang, c in profiles.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in language.predict(df, language.learn(df)).collect()}
+    for k, text, _ in rows:
+        mine = ranked(grams(text))
+        apart = {lang: sum(abs(p[g] - r) if g in p else language.PROFILE for r, g in enumerate(mine)) for lang, p in profiles.items()}
+        want = min(sorted(apart), key=apart.get) if mine else "und"
+        assert out[k].lang_pred == want and (mine or out[k].score == 0), (k, text, apart)
+
+
 def vp8l(writer):
     chunk = writer.bytes()
     return b"RIFF" + (12 + len(chunk) + (len(chunk) & 1)).to_bytes(4, "little") + b"WEBPVP8L" + len(chunk).to_bytes(4, "little") + chunk + b"\0" * (len(chunk) & 1)
