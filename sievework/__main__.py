@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if args.baseline:
         with open(args.baseline, encoding="utf-8") as f:
             known = spark.createDataFrame([(x,) for x in json.load(f)["fingerprints"]], "fingerprint string")
-    result = scan(files, target.granted(config, wishes), paths, baseline=known)
+    result = scan(files, target.granted(config, wishes), paths, baseline=known, by_detector=True)
     findings = result.findings.persist()
     gaps = result.gaps.unionByName(target.left_out(files, wishes))
     graded = result.reports.first()

@@ -16,6 +16,7 @@ from ..functions.paths import categorised, readable
 from ..functions.rules import Rule
 from ..operators import configs, detect, score, verify
 from ..operators.python_code import python_code
+from ..sources.stored import written
 
 
 @dataclass(frozen=True)
@@ -104,13 +105,16 @@ def raw_findings(files: DataFrame, config: Config = Config(), commits: DataFrame
     return with_weakness(reduce(DataFrame.unionByName, [make() for make in raw_parts(files, config, commits, advisories).values()]))
 
 
-def scan(files: DataFrame, config: Config = Config(), changed: DataFrame | None = None, commits: DataFrame | None = None, advisories: DataFrame | None = None, baseline: DataFrame | None = None) -> Scan:
+def scan(files: DataFrame, config: Config = Config(), changed: DataFrame | None = None, commits: DataFrame | None = None, advisories: DataFrame | None = None, baseline: DataFrame | None = None, by_detector: bool = False) -> Scan:
     """Scan files (repo_id, file_seq, path, content, size); nothing runs until a result is read.
 
+    With `by_detector` each detector is planned and written by itself at once, which is much sooner done than one plan of all.
+
     `files.unpersist()` of the result frees what the scan kept."""
     # All detectors read the categorised files, so these are kept; what does not fit in memory goes to disk.
     kept = categorised(selected(files, config, changed)).persist(StorageLevel.MEMORY_AND_DISK)
-    findings = verify.verified(raw_findings(kept, config, commits, advisories), list(config.suppressions), config.verbose)
+    raw = with_weakness(written(raw_parts(kept, config, commits, advisories), files.sparkSession)) if by_detector else raw_findings(kept, config, commits, advisories)
+    findings = verify.verified(raw, list(config.suppressions), config.verbose)
     findings = verify.without_rules(findings, list(config.disabled))
     if baseline is not None:
         findings = verify.beyond(findings, baseline)
