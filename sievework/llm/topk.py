@@ -6,8 +6,9 @@ scores more than sum(max(q * low, q * high)) with a query q, so a node is left o
 best score already exceeds that. Queries travel in blocks: the tree is searched best first, by the largest gap
 between bound and k-th score, for all queries of a block that the node may still serve.
 
-Every query is first searched in its own shard; the k-th score found there travels with it to all others, which
-then yield only what may be among the best. A window keeps the best k of all shards.
+Every query is first searched in its own shard; the k-th score found there travels with it to all others. A task
+that searches several shards also carries the best scores of its earlier ones on to the next, for as many queries as
+HELD bytes take. Each shard then yields only what may be among the best; a window keeps the best k of all shards.
 
 Defined results: vectors null, or with null or non-finite components, neither ask nor answer; vectors meet
 those of their own length only; rows with the query's vec_id are its own and no candidates; a null vec_id is no
@@ -31,6 +32,8 @@ from .common import materialize, bounded_batches
 
 SCALE = 256
 SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 4096, 64, 1024
+#: Bytes of best scores that a task carries from shard to shard; queries beyond them go by their own shard's bound.
+HELD = 64 << 20
 NO_ID = np.iinfo(np.int64).max
 PACKED = "kind int, dim int, uid long, n int, ids binary, vectors binary, bounds binary"
 
@@ -210,6 +213,33 @@ def _merged(queries: DataFrame) -> DataFrame:
     return materialize(queries.repartition(max(1, -(-n // QUERY_ROWS))).mapInArrow(run, PACKED), "queries")
 
 
+class Carried:
+    """The k best scores that one task has met so far for the queries of each block."""
+
+    def __init__(self, k: int, bytes_left: int):
+        self.k, self.bytes_left, self.best = k, bytes_left, {}
+
+    def bounds(self, block: int, bounds: np.ndarray) -> np.ndarray:
+        return np.maximum(bounds, self.best[block][:, -1]) if block in self.best else bounds
+
+    def add(self, block: int, n: int, row: np.ndarray, values: np.ndarray) -> None:
+        """Take in the scores of a shard that was not searched before; those too large for floats are left out."""
+        if block not in self.best:
+            if not n or 8 * n * self.k > self.bytes_left:
+                return
+            self.bytes_left -= 8 * n * self.k
+            self.best[block] = np.full((n, self.k), -np.inf)
+        if not len(row) or values.dtype == object:
+            return
+        order = np.lexsort((-values, row))
+        row, values = row[order], values[order]
+        start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        rank = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+        new = np.full((n, self.k), -np.inf)
+        new[row[rank < self.k], rank[rank < self.k]] = values[rank < self.k]
+        self.best[block] = -np.sort(-np.concatenate([self.best[block], new], axis=1), axis=1)[:, : self.k]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query; vectors has vec_id and embedding."""
     packed = pack(vectors, is_query, k)
@@ -224,14 +254,17 @@ def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     asked = queries.join(count, F.col("dim") == F.col("__dim")).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     asked = asked.select("dim", "number", F.col("uid").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("bounds").alias("q_bounds"))
 
+    held = HELD
+
     def run(batches):
-        uid, tree = None, None
+        uid, tree, carried = None, None, Carried(k, held)
         for b in batches:
             for r in b.to_pylist():
                 if uid != r["uid"]:
                     uid, tree = r["uid"], Tree(*_unpack({**r, "bounds": b""})[1::-1])
                 ids, x, bounds = _unpack(r, "q_")
-                row, found, values = tree.search(x, ids, bounds, k)
+                row, found, values = tree.search(x, ids, carried.bounds(r["block"], bounds), k)
+                carried.add(r["block"], len(ids), row, values)
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(row), pa.int64()), pa.array(row, pa.int32()), pa.array(ids[row] if len(row) else row, pa.int64()), pa.array(found, pa.int64()), pa.array([int(v) for v in values], pa.int64())], names=["block", "row", "query_id", "vec_id", "score"])
 
     found = asked.join(shards, ["dim", "number"]).drop("number").mapInArrow(run, "block long, row int, query_id long, vec_id long, score long")

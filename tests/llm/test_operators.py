@@ -162,6 +162,22 @@ def test_topk_against_sql(spark, sf):
     assert got == sorted(con.execute(queries.OP5_SQL).fetchall())
 
 
+@pytest.mark.parametrize("held", [topk.HELD, 100_000, 0])
+def test_topk_carries_scores_between_shards(spark, monkeypatch, held):
+    """Many shards in a task, many ties, and bounds carried for all, some or no blocks of queries."""
+    monkeypatch.setattr(topk, "HELD", held)
+    x = np.random.default_rng(5).integers(-3, 4, (20_000, 3))
+    df = spark.createDataFrame(list(enumerate((x / 256.0).tolist())), "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 50 == 0, 4).orderBy("query_id", "rank").collect()]
+    want = []
+    for query in range(0, len(x), 50):
+        scores = x @ x[query]
+        scores[query] = -1000
+        best = np.lexsort((np.arange(len(x)), -scores))[:4]
+        want += [(query, k + 1, int(i), int(scores[i])) for k, i in enumerate(best)]
+    assert got == want
+
+
 def test_topk_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (50, [1.0]), (51, [2.0]), (100, [1e12, -1e5]), (None, [1.0, 2.0]), (1, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
