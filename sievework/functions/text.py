@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .rules import ID_PREFIX, Rule, anchors
 
 LONG_LINE = 2000
+#: Lines whose comment mask is made as one string.
+PIECE_LINES = 512
 C_FAMILY = (".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", ".go", ".rs", ".java", ".kt", ".swift", ".c", ".cpp", ".h", ".hpp", ".php")
 HASH_FAMILY = (".py", ".rb", ".sh", ".bash", ".zsh", ".php")
 INLINE_IGNORE = r"(?i)(?:#|//|--)\s*sievework:\s*ignore"
@@ -39,11 +41,12 @@ def guard(c: Column, rules: list[Rule]) -> Column:
 def finditer(content: Column, regex: str) -> Column:
     """All matches in order: array of (line, text); the expression must not match the empty string.
 
-    The text between matches and the matches themselves, alternating, give each match's line."""
+    Of the text between matches only its line ends are kept, and an x for each match: the x's of a line are its matches."""
     between, hits = F.split(content, regex, -1), F.regexp_extract_all(content, F.lit(regex), 0)
-    lines_between, lines_in = F.transform(between, newlines), F.transform(hits, newlines)
-    add = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda x, y: x + y)
-    return F.transform(hits, lambda h, i: F.struct((F.lit(1) + add(lines_between, i + 1) + add(lines_in, i)).alias("line"), h.alias("text")))
+    ends = lambda c: F.regexp_replace(c, r"[^\n]+", "")
+    marks = F.array_join(F.zip_with(between, hits, lambda b, h: F.concat(ends(b), F.coalesce(F.concat(F.lit("x"), ends(h)), F.lit("")))), "")
+    lines = F.flatten(F.transform(F.split(marks, "\n", -1), lambda l, i: F.array_repeat(i + 1, F.length(l))))
+    return F.zip_with(lines, hits, lambda l, h: F.struct(l.alias("line"), h.alias("text")))
 
 
 def first_match(content: Column, regex: str) -> Column:
@@ -78,7 +81,11 @@ def comment_mask(lines: Column, ext: Column, long_lines_count: bool) -> Column:
         comment = ~skip & ((until != "") | _is_prefix_comment(line, ext))
         return F.struct(after.alias("until"), F.concat(state["mask"], F.when(comment, "1").otherwise("0")).alias("mask"))
 
-    fold = F.aggregate(lines, F.struct(F.lit("").alias("until"), F.lit("").alias("mask")), step, lambda s: s["mask"])
+    # By pieces of some lines, as a mask of all lines that grows by one would be copied for each of them.
+    piece = lambda until, some: F.aggregate(some, F.struct(until.alias("until"), F.lit("").alias("mask")), step)
+    append = lambda state, inner: F.struct(inner["until"].alias("until"), F.concat(state["mask"], inner["mask"]).alias("mask"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(lines) - 1, F.lit(0)) / PIECE_LINES).cast("int")), lambda k: F.slice(lines, k * PIECE_LINES + 1, PIECE_LINES))
+    fold = F.aggregate(pieces, F.struct(F.lit("").alias("until"), F.lit("").alias("mask")), lambda state, some: F.aggregate(F.array(piece(state["until"], some)), state, append), lambda s: s["mask"])
     folded = F.transform(F.split(fold, ""), lambda x: x == "1")
     whole = F.array_join(lines, "\n")
     block = (ext.isin(*C_FAMILY) & whole.contains("/*")) | ((ext == ".py") & (whole.contains('"""') | whole.contains("'''"))) | ((ext == ".rb") & whole.contains("=begin"))

@@ -26,7 +26,7 @@ def test_anchors_are_necessary(line):
 
 def test_finditer_equals_python(spark):
     rng = random.Random(5)
-    texts = ["".join(rng.choice("ab\n xé1=") for _ in range(rng.randint(0, 120))) for _ in range(200)]
+    texts = ["".join(rng.choice("ab\n xé1=") for _ in range(rng.randint(0, 120))) for _ in range(200)] + ["ab\n1= x\nba" * 20_000, "", "\n\nab"]
     for regex in (r"a+b?", r"\d=", r"x\n", r"(?:ab|ba)+"):
         df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
         got = {r.k: [(m.line, m.text) for m in r.m] for r in df.select("k", text.finditer(F.col("t"), regex).alias("m")).collect()}
@@ -41,6 +41,9 @@ def test_comment_mask(spark):
         (".rb", ["=begin", "x", "=end", "y", "# z"], "11101"),
         (".sh", ["#!x", "y", "/* not */"], "100"),
         (".go", ["x /* no", "y"], "00"),
+        (".c", (["/*"] + ["a"] * 700 + ["*/"] + ["b"] * 600) * 30, ("1" * 702 + "0" * 600) * 30),
+        (".rs", ["/*"] + ["a"] * (text.PIECE_LINES - 1) + ["*/", "b"], "1" * (text.PIECE_LINES + 1) + "0"),
+        (".java", ["// a"] * text.PIECE_LINES + ["/* x"] * 2, "1" * (text.PIECE_LINES + 2)),
     ]
     df = spark.createDataFrame([(e, ls) for e, ls, _ in cases], "ext string, ls array<string>")
     got = {r.ext: "".join(str(int(x)) for x in r.m) for r in df.select("ext", text.comment_mask(F.col("ls"), F.col("ext"), False).alias("m")).collect()}
