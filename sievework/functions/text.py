@@ -23,15 +23,16 @@ def newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def guard(c: Column, rules: list[Rule]) -> Column:
-    """Whether any of the rules can match: their required literals, or true where a rule has none."""
+def guard(c: Column, rules: list[Rule], low: Column | None = None) -> Column:
+    """Whether any of the rules can match: their required literals, or true where a rule has none; low is c in lower case, if at hand."""
+    low = F.lower(c) if low is None else low
     exact, lower = [], []
     for r in rules:
         found, ignore = anchors(r.regex)
         if not found:
             return F.lit(True)
         (lower if ignore else exact).extend(found)
-    parts = [c.contains(x) for x in dict.fromkeys(exact)] + [F.lower(c).contains(x) for x in dict.fromkeys(lower)]
+    parts = [c.contains(x) for x in dict.fromkeys(exact)] + [low.contains(x) for x in dict.fromkeys(lower)]
     out = F.lit(False)
     for p in parts:
         out = out | p
