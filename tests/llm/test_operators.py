@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +188,37 @@ def test_topk_odd_rows(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0, 3).count() == 0
 
 
+def test_topk_copies_are_bounded(spark, monkeypatch):
+    """Vectors are kept in 16 bits a component, and however small the units, copies of the queries weigh little more than the vectors."""
+    x = np.random.default_rng(5).integers(-3, 4, (40_000, 3))
+    df = spark.createDataFrame(list(enumerate((x / 256.0).tolist())), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "SHARD_ROWS", 400)
+    packed = topk.pack(df, F.col("vec_id") % 5 == 0, 4)
+    assert packed.filter("kind = 0").agg(F.sum(F.length("vectors"))).first()[0] == 2 * x.size
+    monkeypatch.setattr(topk, "UNIT_BYTES", 1)
+    units = topk._units(packed, 100).first()
+    assert units["units"] == 10 and units["units"] * packed.filter("kind = 1").agg(F.sum(F.length("vectors"))).first()[0] <= topk.COPIES * 2 * x.size
+
+
+def test_topk_in_two_rounds(spark, tmp_path):
+    """Units enough for two rounds, with copies and so ties among them."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[1000:1300] = x[50]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 64), pa.int32()), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": lists}), tmp_path / "v.parquet", row_group_size=20_000)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 50 == 0, 5).collect()}
+    e = np.floor(256 * x.astype(np.float64))
+    queries_ = np.arange(0, len(x), 50)
+    assert len(got) == 5 * len(queries_)
+    for query in queries_[:200].tolist() + queries_[-100:].tolist():
+        scores = e @ e[query]
+        scores[query] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -scores))[:5]
+        assert [got[query, k + 1] for k in range(5)] == [(i, scores[i]) for i in best.tolist()]
+
+
 def test_byte_bpe(docs):
     import base64
 
